@@ -56,7 +56,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def scan_parts(df: DataFrame, part_bytes: int) -> int:
     """How many parts of about ``part_bytes`` the optimizer's size estimate of a scan makes; grows with the input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(1, -(-size // part_bytes))
 
 

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import bpe, simhash, url_filter
+from chronoweave.llm import bpe, decontam, lang_id, lm_score, quality, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lang_id": lang_id.op1_lang_id,
+        "op4_lm_score": lm_score.op4_lm_score,
+        "op5_quality": quality.op5_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_bpe": bpe.op7_bpe,
+        "op8_decontamination": decontam.op8_decontamination,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
