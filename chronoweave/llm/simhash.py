@@ -23,11 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.llm.common import LOWER, buffers, table, written
 
 #: Contract of the query: words of a shingle, most differing bits.
 SHINGLE, RADIUS = 4, 4
+_ROW = "__row"
 #: Rows of one block value that one group may hold; larger ones are cut into slices of this size.
 BUCKET_ROWS = 20_000
 #: Members of a leaf, and leaves of an upper node, of the Gray-order index.
@@ -53,18 +55,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the unsigned fingerprint in a signed long) of every row."""
+    """The columns of docs but for the last, text, with fp: the unsigned fingerprint in a signed long."""
+    source = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    kept = source.schema.fields[:-1]
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(len(kept)))
             whole = data.tobytes()
             fps = [fingerprint(whole[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=[*batch.schema.names[:-1], "fp"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def block_masks(radius: int) -> list[tuple[int, int]]:
@@ -249,21 +254,37 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def roots(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """fp, root for distinct fingerprints: equal roots are one component."""
+    found = components(links(fps, radius, bucket_rows)).withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable through links, its own included) of every row of docs."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    fps = written(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), radius, bucket_rows))
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    member = classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp")
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """All columns of one row of each component of docs: the smallest doc_id (null first), then the first row.
+
+    docs is scanned twice and must give its rows in the same order both times, as file scans do.
+    """
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    fps = written(fingerprints(numbered.select(_ROW, "doc_id", "text"), shingle), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", _ROW)).alias("least"))
+    member = classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp")
+    kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col(f"least.{_ROW}").alias(_ROW))
+    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
