@@ -36,7 +36,7 @@ from chronoweave.llm.common import table, written
 #: Words that a repeated run has at least.
 MIN_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
-_ROW = "__row"
+_ROW, _LINES = "__row", "__lines"
 
 
 def _worded(line: Column) -> Column:
@@ -44,12 +44,16 @@ def _worded(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, idx (place among the text's lines with words), a, b (96-bit hash of the line), words."""
-    own = docs.select(_ROW, F.col("doc_id").cast("long"), F.filter(F.split("text", "\n"), _worded).alias("own"))
-    return own.select(_ROW, "doc_id", F.posexplode("own").alias("idx", "line")).select(
+    """row, doc_id, idx (place among the text's lines with words), pos (among all), a, b (96-bit hash of the line), words."""
+    placed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    own = docs.select(_ROW, F.col("doc_id").cast("long"), F.filter(placed, lambda x: _worded(x["line"])).alias("own"))
+    return own.select(_ROW, "doc_id", F.posexplode("own").alias("idx", "l")).select(
+        _ROW, "doc_id", "idx", "l.pos", "l.line"
+    ).select(
         _ROW,
         "doc_id",
         "idx",
+        "pos",
         F.xxhash64("line").alias("a"),
         F.hash("line").alias("b"),
         F.regexp_count("line", F.lit(WORD)).alias("words"),
@@ -104,9 +108,9 @@ def windows(places: DataFrame, min_words: int) -> DataFrame:
 
 
 def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, gone: of each row of docs (with its row number) that loses lines, which of its lines with words go."""
+    """row, gone: of each row of docs (with its row number) that loses lines, the places of those that go."""
     every = written(lines(docs), "lines")
-    places = written(every.join(ranked(every, ["a", "b"]), ["a", "b"]).select(_ROW, "doc_id", "idx", "words", "rank"), "places")
+    places = written(every.join(ranked(every, ["a", "b"]), ["a", "b"]).select(_ROW, "doc_id", "idx", "pos", "words", "rank"), "places")
     wanted = written(windows(places, min_words), "windows")
     longest = wanted.agg(F.max("n")).first()[0] or 1
     levels, step = [places.select(_ROW, "idx", "rank")], 1
@@ -129,7 +133,8 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         (F.col(_ROW) != F.col("first_row")) | (F.col("idx") != F.col("first_idx"))
     )
     gone = later.select(_ROW, F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("n") - 1)).alias("at"))
-    return gone.groupBy(_ROW).agg(F.collect_set("at").alias("gone"))
+    placed = gone.distinct().join(places.select(_ROW, F.col("idx").alias("at"), "pos"), [_ROW, "at"])
+    return placed.groupBy(_ROW).agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -139,14 +144,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) ->
     """
     numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
     gone = deleted(numbered.select(_ROW, "doc_id", "text"), min_words)
-    own = F.split("text", "\n")
-    worded = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: _worded(F.get(own, i)))
-    places = F.transform(F.col("gone"), lambda i: F.get(worded, i))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), places)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")
-    )
-    joined = numbered.join(gone, _ROW, "left")
+    # the lines are cut below the join, so that the lambdas above it read an array that is there
+    cut = numbered.select(_ROW, *[c for c in docs.columns if c != "text"], F.split("text", "\n").alias(_LINES))
+    joined = cut.join(gone, _ROW, "left")
+    own = F.col(_LINES)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
+    text = F.array_join(kept, "\n")
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if report:
         out += [
