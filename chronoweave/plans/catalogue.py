@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from chronoweave.plans import graph_queries, linkpred_queries, temporal_queries
+from chronoweave.plans.registry import Query
+
+PARTS = (graph_queries, temporal_queries, linkpred_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.R.sql.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["formation_surprise"](spark, sf_dir)
