@@ -5,10 +5,11 @@ Fingerprints: whole texts, A-Z lower-cased, words outside white space, ``shingle
 one shingle; a text without words has fingerprint zero and links like any other.
 
 Linking: equal fingerprints are folded into one row first, so a group of exact copies, however large, costs one row.
-Fingerprints within ``radius`` bits agree on one of ``radius + 1`` bit blocks, so each goes once to each block's value.
-Inside a partition the rows of a block value are sorted by Gray rank and indexed by two levels of nodes that keep the
+Fingerprints within ``radius`` bits agree under one of a few bit masks (``key_masks``), so each goes once to each masked
+value.
+Inside a partition the rows of a masked value are sorted by Gray rank and indexed by two levels of nodes that keep the
 bits all members share (mask, pattern); a query descends only where the shared bits differ in at most ``radius`` places.
-Only a spanning forest of what is found leaves a block value, never all its pairs. Block values with more than
+Only a spanning forest of what is found leaves a masked value, never all its pairs. Values with more than
 ``bucket_rows`` rows are cut into slices, each pair of slices a group of its own, so no task holds more than two slices.
 Components come from large-star/small-star rounds, each cut by a table in the shared folder.
 
@@ -18,6 +19,8 @@ other null ids (then component_id is null). Repeated rows stay repeated and shar
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +33,10 @@ from chronoweave.llm.common import LOWER, buffers, table, written
 #: Contract of the query: words of a shingle, most differing bits.
 SHINGLE, RADIUS = 4, 4
 _ROW = "__row"
-#: Rows of one block value that one group may hold; larger ones are cut into slices of this size.
+#: Rows of one masked value that one group may hold; larger ones are cut into slices of this size.
 BUCKET_ROWS = 20_000
+#: Rows that share a masked value, on average, up to which masks need not be longer.
+KEY_ROWS = 2048
 #: Members of a leaf, and leaves of an upper node, of the Gray-order index.
 LEAF, FAN = 16, 16
 
@@ -72,10 +77,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return source.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
-def block_masks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that cover 64 bits."""
-    cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def key_masks(rows: int, radius: int) -> list[int]:
+    """Bit masks such that any two fingerprints within ``radius`` bits agree under one of them.
+
+    64 bits are cut into n blocks, a mask for each choice of n - radius of them. n starts at radius + 1 and rises with
+    the number of fingerprints, up to radius + 4, until a masked value has about ``KEY_ROWS`` rows on average: longer
+    masks for more rows. What is linked doesn't depend on n.
+    """
+    n = radius + 1
+    while n < radius + 4 and rows / 2 ** (64 * (n - radius) / n) > KEY_ROWS:
+        n += 1
+    cuts = [round(64 * k / n) for k in range(n + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(some) for some in combinations(parts, n - radius)]
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -143,13 +157,10 @@ def forest(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """src, dst: links between distinct fingerprints ``fp`` that connect exactly what is within ``radius`` of another."""
-    blocks = block_masks(radius)
-    keyed = fps.select(
-        "fp",
-        F.posexplode(
-            F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for a, w in blocks])
-        ).alias("block", "value"),
-    )
+    masks = key_masks(fps.count(), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    values = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])
+    keyed = fps.select("fp", F.posexplode(values).alias("block", "value"))
     sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > bucket_rows).withColumn("slices", F.ceil(F.col("n") / bucket_rows).cast("int"))
     # at most (rows * blocks / bucket_rows) values are large; only they are cut into pairs of slices
