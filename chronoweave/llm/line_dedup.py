@@ -129,6 +129,8 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = first.where("copies > 1").select(
         "n", "head", "tail", F.col(f"first.{_ROW}").alias("first_row"), F.col("first.idx").alias("first_idx")
     )
+    # a table of its own, so that the join below has a shuffle to itself and a large interval can be split
+    first = written(first, "first")
     later = keyed.join(first, ["n", "head", "tail"]).where(
         (F.col(_ROW) != F.col("first_row")) | (F.col("idx") != F.col("first_idx"))
     )
