@@ -50,7 +50,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage with a table in the shared folder: survives lost executors, is compressed and read by column."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    # zstd works in pooled heap buffers; snappy's direct buffers add up over many small files
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
