@@ -55,12 +55,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_parts(df: DataFrame, part_bytes: int) -> int:
-    """How many parts of about ``part_bytes`` the optimizer's size estimate of a scan makes; grows with the input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, -(-size // part_bytes))
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column one after another, and the n + 1 offsets of the texts."""
     if isinstance(column, pa.ChunkedArray):

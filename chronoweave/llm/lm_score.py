@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import buffers, fold, grams, runs, scan_parts, table, words, written
+from chronoweave.llm.common import buffers, fold, grams, runs, table, words, written
 
 HELD_OUT, DEV, FOLDS = 2, 3, 7
-#: Bytes of text in a chunk; bytes of the scan's size estimate for each shard.
-CHUNK, SHARD_BYTES = 12_000_000, 8_000_000
+#: Bytes of text in a chunk, and for each shard.
+CHUNK, SHARD_BYTES = 12_000_000, 13_000_000
 ROUNDS, LEVELS = 60, 8
 BUCKETS = 48
 END = np.uint64(0x9E6C63D0876A9A47)
@@ -233,7 +233,7 @@ def learn_weights(cells: np.ndarray, uniform: float) -> np.ndarray:
 # -- scores ------------------------------------------------------------------------------------------------------------
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
-    shards = shards or scan_parts(docs, SHARD_BYTES)
+    shards = shards or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // SHARD_BYTES)
     source = docs.select(F.col("doc_id").cast("long"), "text", fold(F.col("doc_id"), FOLDS).cast("int").alias("fold"))
     found = written(answers(source, shards), "ngram-counts")
     sums = found.where("n_order = 1").agg(*[F.sum(c).alias(c) for c in ("types", "total", "main_types", "main_total")])
