@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.functions import ontology, parser, text
-from chronoweave.operators import provenance, temporal
+from chronoweave.operators import audit, provenance, temporal
 from chronoweave.operators.graph import endpoints, time_dictionary
 from chronoweave.operators.graph import bucketed as with_bucket
 from chronoweave.plans.graph_queries import edges
@@ -244,3 +244,45 @@ def build_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.prompt("Read: <text>!", F.col("text"), 100).alias("prompt"))
 
 
+
+
+# -- audit -------------------------------------------------------------------------------------------------------------
+@R.add(f"""{_PROV}, r AS (SELECT theme, bool_or(name IN ('S7')) AS noise, bool_or(name IN ('S8', 'S9')) AS rl FROM tm GROUP BY theme),
+s AS (SELECT theme FROM (SELECT DISTINCT theme FROM tm) ORDER BY md5('42|' || theme), theme LIMIT 6)
+SELECT r.theme, CASE WHEN noise THEN 'control_noise' WHEN rl THEN 'control_real' ELSE 'sample' END AS role FROM r LEFT JOIN s ON s.theme = r.theme WHERE noise OR rl OR s.theme IS NOT NULL""")
+def review_sheet(spark, sf_dir):
+    members = provenance.top_members(_theme_tables(spark, sf_dir)[2])
+    return audit.review_sheet(members, ["S8", "S9"], ["S7"], 6)
+
+
+
+_SPLIT_SQL = """mem AS (SELECT DISTINCT theme AS id, name AS member FROM tm), sz AS (SELECT id, count(*) AS size FROM mem GROUP BY id),
+lk AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM mem a JOIN mem b ON a.member = b.member AND a.id < b.id GROUP BY ALL),
+ln AS (SELECT a, b FROM lk JOIN sz x ON x.id = a JOIN sz y ON y.id = b WHERE shared / (x.size + y.size - shared) >= 0.3),
+both_ways AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln),
+rc AS (SELECT id AS node, id AS reached FROM sz UNION SELECT rc.node, e.b FROM rc JOIN both_ways e ON e.a = rc.reached),
+cc AS (SELECT node, min(reached) AS grp FROM rc GROUP BY node)"""
+
+
+@R.add(f"""WITH RECURSIVE {GRAPH_SQL}, {_THEMES_SQL}, {_SPLIT_SQL}
+SELECT CAST(node AS BIGINT) AS id, CAST(grp AS BIGINT) AS "group", bool_or(birth >= DATE '2001-01-01') OVER (PARTITION BY grp) AS is_test FROM cc JOIN th ON th.theme = node""")
+def distillation_split(spark, sf_dir):
+    _, themes, members = _theme_tables(spark, sf_dir)
+    packs = provenance.top_members(members).select(F.col("theme").cast("long").alias("id"), F.col("name").alias("member"))
+    births = themes.select(F.col("theme").cast("long").alias("id"), "birth")
+    return audit.distillation_split(packs, births, F.lit("2001-01-01").cast("date"))
+
+
+@R.add("""SELECT unnest(['PERSON', 'GPE', 'EVENT', 'SECTOR', 'ORG/GOV', 'ORG/REG', 'ORG', 'ECON_INDICATOR', 'FIN_INSTRUMENT', 'CONCEPT']) AS type""")
+def missing_types(spark, sf_dir):
+    return audit.missing_types(parser.triplets(_completions(spark, sf_dir)))
+
+
+@R.add()
+def judge_prompts(spark, sf_dir):
+    from chronoweave.sources.readers import PACK
+
+    hits, themes, members = _hits(spark, sf_dir)
+    titles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article"), F.col("o_orderpriority").alias("title"))
+    packs = provenance.packs(hits, themes, members, titles)
+    return audit.rendered(packs.select(F.from_json("pack", PACK).alias("p")).select("p.*"))
