@@ -12,7 +12,7 @@ _RELATIONS = (
     "|Produce|Introduce|Decrease|Positive_Impact_On"
 )
 RELATION_IDS = {name: i for i, name in enumerate(_RELATIONS.split("|"))}
-IMPACT = ("Impact", "Positive_Impact_On", "Negative_Impact_On", "Raise", "Decrease")
+IMPACT = tuple("Decrease Impact Negative_Impact_On Positive_Impact_On Raise".split())
 
 _SPELT_TYPES = {
     "COMP": "COMPANY COMPANIES",

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from chronoweave.functions.ontology import normal_relation, normal_type
 from chronoweave.functions.text import is_numeric
 
-_STRING = r'"((?:[^"\\]|\\.)*)"'
+#: A quoted string: plain runs, with an escaped character between any two.
+_STRING = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
+#: Escapes and what they stand for, in the order in which they are undone.
+_ESCAPES = (('\\"', '"'), ("\\n", " "), ("\\\\", "\\"))
 _FIVE = re.compile(r"\[\s*" + r"\s*,\s*".join([_STRING] * 5) + r"\s*\]")
-FIELDS = ("h", "h_type", "r", "o", "o_type")
+FIELDS = tuple("h h_type r o o_type".split())
 
 
 def tuples(text: str):
@@ -41,18 +44,28 @@ def fields(inside: str) -> list[str]:
     quote = inside[:1]
     if quote in ("'", '"'):
         parts = re.split(rf"{quote}\s*,\s*{quote}", inside)
-        if len(parts) == 5:
-            parts[0] = parts[0].removeprefix(quote)
-            parts[4] = parts[4].removesuffix(quote)
-            return [p.strip() for p in parts]
-    return [p.strip().strip("'\"").strip() for p in inside.split(",")]
+        if len(parts) == len(FIELDS):
+            inner = parts[1:-1]
+            return [x.strip() for x in (parts[0].removeprefix(quote), *inner, parts[-1].removesuffix(quote))]
+    return [_bare(x) for x in inside.split(",")]
+
+
+def _bare(value: str) -> str:
+    """Without blanks and quotes around it."""
+    value = value.strip()
+    return value.strip("\"'").strip()
+
+
+def _unescaped(value: str) -> str:
+    for written, meant in _ESCAPES:
+        value = value.replace(written, meant)
+    return value.strip()
 
 
 def quintuples(text: str | None) -> list[tuple[str, ...]]:
     """Raw (h, h_type, r, o, o_type) with non-empty ends."""
     text = text or ""
-    plain = lambda s: s.replace('\\"', '"').replace("\\n", " ").replace("\\\\", "\\").strip()
-    found = [tuple(plain(g) for g in m.groups()) for m in _FIVE.finditer(text)]
+    found = [tuple(map(_unescaped, m.groups())) for m in _FIVE.finditer(text)]
     found = [f for f in found if f[0] and f[3]]
     if found:
         return found

@@ -15,7 +15,12 @@ BRANDS = (
 )
 #: No letter, digit or underscore before, and after.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-_SHORT_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z]*"
+SHORT_MONTH = "(?:" + "|".join(sorted(m[:3].title() for m in MONTHS)) + ")[A-Za-z]*"
+#: Day, month and year in digits, either way round.
+DIGIT_DATE = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}(?:-[0-9]{2}){2}"
+#: A month's name, a day, perhaps a comma, and a year.
+NAMED_DATE = SHORT_MONTH + r"\.?\s+[0-9]{1,2},?\s+[0-9]{2,4}"
+FULL_YEAR = "(?:20|19)[0-9]{2}"
 
 
 def squeeze(s: Column) -> Column:
@@ -48,7 +53,7 @@ def slot_norm(s: Column) -> Column:
     order, then punctuation to spaces, lower case, squeezed."""
     s = F.regexp_replace(s, _BEFORE + "[A-Z]{1,5}" + _AFTER, "@T")
     s = F.regexp_replace(s, "(?i)" + _BEFORE + "(?:" + "|".join(MONTHS) + ")" + _AFTER, "@M")
-    s = F.regexp_replace(s, r"\p{Nd}+(?:[.,]\p{Nd}+)*(?:st|nd|rd|th)?", "@N")
+    s = F.regexp_replace(s, r"\p{Nd}+(?:[.,]\p{Nd}+)*(?:th|st|nd|rd)?", "@N")
     return squeeze(F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}_@ ]+", " ")))
 
 
@@ -68,7 +73,7 @@ def is_brand(s: Column) -> Column:
 
 def is_numeric(s: Column) -> Column:
     """A bare number, amount or percentage."""
-    return s.rlike(r"^[\s$£€¥]*[-+]?\d[\d.,]*\s*%?\s*$")
+    return s.rlike(r"^[$€£¥\s]*(?:\+|-)?[0-9][0-9,.]*\s*(?:%\s*)?$")
 
 
 def quoted(s: Column) -> Column:
@@ -78,8 +83,8 @@ def quoted(s: Column) -> Column:
 
 def mask_dates(s: Column) -> Column:
     """Dates to [DATE], then years to [YEAR]."""
-    date = rf"\b(\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|{_SHORT_MONTH}\.?\s+\d{{1,2}},?\s+\d{{2,4}})\b"
-    return F.regexp_replace(F.regexp_replace(F.coalesce(s, F.lit("")), date, "[DATE]"), r"\b(?:19|20)\d{2}\b", "[YEAR]")
+    dated = F.regexp_replace(F.coalesce(s, F.lit("")), rf"\b(?:{DIGIT_DATE}|{NAMED_DATE})\b", "[DATE]")
+    return F.regexp_replace(dated, rf"\b{FULL_YEAR}\b", "[YEAR]")
 
 
 def mask_article(body: Column, tag: Column | None = None, names: Column | None = None) -> Column:
@@ -107,7 +112,8 @@ def mask_entities(body: Column, entities: Column, slots: int = 60) -> Column:
         t, F.concat(F.lit("(?iu)"), quoted(p["n"])), F.concat(F.lit("[ENT"), p["k"].cast("string"), F.lit("]"))
     )
     masked = F.aggregate(pairs, F.coalesce(body, F.lit("")), step)
-    date = rf"(?i)\b(?:19|20)\d{{2}}\b|\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b|\b{_SHORT_MONTH}\.?\s+\d{{1,2}}\b"
+    digits = "[0-9]{1,2}(?:[-/][0-9]{1,2})[-/][0-9]{2,4}"
+    date = rf"(?i)\b(?:{SHORT_MONTH}\.?\s+[0-9]{{1,2}}|{digits}|{FULL_YEAR})\b"
     return F.regexp_replace(masked, date, "[DATE]")
 
 

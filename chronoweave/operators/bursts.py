@@ -84,7 +84,7 @@ def changepoint_bursts(
     n = len(x)
     if not n or x.sum() <= 0:
         return []
-    weight, a, b = np.ones(1), np.array([a0]), np.array([b0])
+    weight, a, b = np.ones(1), np.full(1, a0), np.full(1, b0)
     longest = np.zeros(n, int)
     gamma = np.vectorize(lgamma)
     for t in range(n):

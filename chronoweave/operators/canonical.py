@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.functions.text import key_norm
-from chronoweave.operators.graph import connected_components, endpoints
+from chronoweave.operators.graph import QUAD, connected_components, endpoints
 
-CORPORATE = ("COMP", "ORG", "ORG/GOV", "ORG/REG")
+CORPORATE = tuple("COMP ORG ORG/GOV ORG/REG".split())
 DOMINANCE, LEAST_MENTIONS = 0.60, 10
 
 
@@ -93,12 +93,12 @@ def remapped(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def merged_core(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """The merged graph as it is stored: weights of equal quadruples add up."""
-    return remapped(edges, mapping).groupBy("subj", "rel", "obj", "time").agg(F.sum("weight").alias("weight"))
+    return remapped(edges, mapping).groupBy(*QUAD).agg(F.sum("weight").alias("weight"))
 
 
 def merged_for_evaluation(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """The merged graph as it is evaluated: equal quadruples once, without weights."""
-    return remapped(edges, mapping).select("subj", "rel", "obj", "time").distinct()
+    return remapped(edges, mapping).select(*QUAD).distinct()
 
 
 def merge_groups(table: DataFrame, weights: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def merge_groups(table: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-# -- similarity groups -------------------------------------------------------------------------------------------------
+# -- similarity groups
 def jaccard_pairs(sets: DataFrame, least: float = 0.3) -> DataFrame:
     """a, b, jaccard of sets (id, member) that overlap that much: pairs only come from shared members."""
     rows = sets.select("id", "member").distinct()

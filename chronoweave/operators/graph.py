@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from chronoweave.operators.runtime import fixpoint, indexed
 
+#: Columns of a quadruple.
+QUAD = "subj rel obj time".split()
 TRAIN, VALID = 0.70, 0.15
 
 
-# -- time --------------------------------------------------------------------------------------------------------------
+# -- time
 def week_bucket(ts: Column) -> Column:
     """The Monday on or before."""
     return F.date_trunc("week", ts).cast("date")
@@ -48,7 +50,7 @@ def time_dictionary(with_buckets: DataFrame) -> DataFrame:
     return with_buckets.select("bucket").distinct().select("bucket", place.cast("int").alias("time"))
 
 
-# -- edges and dictionaries --------------------------------------------------------------------------------------------
+# -- edges and dictionaries
 def assemble(mentions: DataFrame, resolution: str = "week") -> DataFrame:
     """Edges with their mention counts; names stay names. The calendar is small and broadcast."""
     rows = bucketed(mentions, resolution)
@@ -88,7 +90,7 @@ def majority(votes: DataFrame, key: str, value: str) -> DataFrame:
     return counted.groupBy(key).agg(best).select(key, F.col("best.v").alias(value), (-F.col("best.m")).alias("votes"))
 
 
-# -- splits ------------------------------------------------------------------------------------------------------------
+# -- splits
 def split_bounds(n_times: Column, train: float = TRAIN, valid: float = VALID) -> tuple[Column, Column]:
     """First validation and first test bucket, truncated as IEEE doubles are."""
     return (
@@ -110,11 +112,11 @@ def split_index(edges: DataFrame) -> DataFrame:
     numbered = indexed(with_split(edges), ["split", "time", "subj", "rel", "obj"], "place")
     first = numbered.groupBy("split").agg(F.min("place").alias("first"))  # three rows
     return numbered.join(F.broadcast(first), "split").select(
-        "subj", "rel", "obj", "time", "weight", "split", (F.col("place") - F.col("first")).alias("idx")
+        *QUAD, "weight", "split", (F.col("place") - F.col("first")).alias("idx")
     )
 
 
-# -- core --------------------------------------------------------------------------------------------------------------
+# -- core
 def degrees(edges: DataFrame) -> DataFrame:
     """ent, degree: incident edge-weeks, not distinct neighbours."""
     return endpoints(edges).groupBy("ent").agg(F.count(F.lit(1)).alias("degree"))
@@ -154,7 +156,7 @@ def without_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("subj") != F.col("obj"))
 
 
-# -- connected components ----------------------------------------------------------------------------------------------
+# -- connected components
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, component: the smallest node that links (a, b) reach. Rounds of large stars and small stars: every node
     passes its least neighbour on, by a minimum and a join; no neighbourhood is ever gathered."""

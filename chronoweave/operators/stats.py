@@ -13,10 +13,11 @@ Z95 = 1.959963984540054
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Lower and upper end of the score interval."""
-    p, n = successes / n, n.cast("double")
-    centre, scale = p + z * z / (2 * n), 1 + z * z / n
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (centre - half) / scale, (centre + half) / scale
+    n = n.cast("double")
+    miss = n - successes
+    # all terms times n: the centre is k + z^2 / 2, the width z sqrt(k (n - k) / n + z^2 / 4)
+    centre, half = successes + z * z / 2, F.lit(z) * F.sqrt(successes * miss / n + z * z / 4)
+    return (centre - half) / (n + z * z), (centre + half) / (n + z * z)
 
 
 def _cut(scored: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def set_overlap(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("share", F.col("both") / F.greatest("n_a", F.lit(1)))
 
 
-# -- resampling --------------------------------------------------------------------------------------------------------
+# -- resampling
 def bootstrap(rows: DataFrame, value: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """mean, lo, hi: percentile interval of the mean of ``value``, resampled by Poisson weights.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.operators import linkpred
-from chronoweave.operators.graph import endpoints
-from chronoweave.plans.graph_queries import edges
+from chronoweave.operators.graph import QUAD, endpoints
+from chronoweave.operators.runtime import written
+from chronoweave.plans.graph_queries import edges, stored_edges
 from chronoweave.plans.registry import Registry, rounded
 from chronoweave.plans.temporal_queries import n_times
 from chronoweave.sources.fixtures import GRAPH_SQL, table
@@ -16,7 +17,7 @@ R = Registry()
 
 def _setting(spark, sf_dir):
     """edges, first test week, number of entities (the pool is every entity that occurs at all)."""
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     return rows, int(n_times(rows) * 0.85), endpoints(rows).distinct().count()
 
 
@@ -53,7 +54,7 @@ POP_SQL = f"""{_pop_sql('object', 'obj')}, {_pop_sql('subject', 'subj')}, pop AS
 
 @R.add(f"WITH {BASE_SQL} SELECT subj, rel, obj, time, seen FROM seen")
 def pit_history(spark, sf_dir):
-    return linkpred.with_history(edges(spark, sf_dir)).select("subj", "rel", "obj", "time", "seen")
+    return linkpred.with_history(edges(spark, sf_dir)).select(*QUAD, "seen")
 
 
 @R.add(f"WITH {BASE_SQL}, {REC_SQL} SELECT subj, rel, obj, time, seen, direction, CAST(rank AS DOUBLE) AS rank FROM rec")
@@ -81,9 +82,9 @@ SELECT 'popularity', seen, rel, pop.rank FROM pop JOIN seen USING (subj, rel, ob
 
 def _ranks(spark, sf_dir):
     setting = _setting(spark, sf_dir)
-    rec, pop = linkpred.recurrence_ranks(*setting), linkpred.popularity_ranks(*setting)
-    seen = rec.select("subj", "rel", "obj", "time", "direction", "seen")
-    pop_seen = pop.join(seen, ["subj", "rel", "obj", "time", "direction"])
+    rec, pop = written(linkpred.recurrence_ranks(*setting), "ranks"), written(linkpred.popularity_ranks(*setting), "ranks")
+    seen = rec.select(*QUAD, "direction", "seen")
+    pop_seen = pop.join(seen, [*QUAD, "direction"])
     back = linkpred.backoff(rec, pop)
     parts = [x.select(F.lit(m).alias("method"), "seen", "rel", "rank") for m, x in (("recurrence", rec), ("popularity", pop_seen), ("backoff", back))]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -115,7 +116,7 @@ def rank_ecdf(spark, sf_dir):
     return rounded(linkpred.rank_ecdf(linkpred.recurrence_ranks(*_setting(spark, sf_dir)), "direction"), "ecdf")
 
 
-# -- neighbourhoods, over the last eight test weeks --------------------------------------------------------------------
+# -- neighbourhoods, over the last eight test weeks
 LAST = 8
 _ADJ_SQL = f"""tw AS (SELECT DISTINCT time AS t FROM edges, span WHERE time >= span.t - {LAST}),
 adj AS (SELECT DISTINCT t, a, b FROM (SELECT tw.t, subj AS a, obj AS b FROM edges JOIN tw ON time BETWEEN tw.t - 12 AND tw.t - 1
@@ -127,7 +128,7 @@ JOIN deg ON deg.t = x.t AND deg.a = x.b JOIN adj y ON y.t = x.t AND y.a = x.b GR
 
 
 def _neighbours(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     first = n_times(rows) - LAST
     return rows, first, linkpred.neighbour_scores(rows, first)[1]
 
@@ -165,7 +166,7 @@ def adamic_adar_rank(spark, sf_dir):
     return linkpred.neighbour_ranks(rows, scores, "aa", first, endpoints(rows).distinct().count())
 
 
-# -- vectors -----------------------------------------------------------------------------------------------------------
+# -- vectors
 _VEC_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 c AS (SELECT q.vec_id AS q, c.vec_id AS cand, list_inner_product(q.e, c.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(c.e, c.e)) AS cosine
 FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)"""

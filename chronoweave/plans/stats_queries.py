@@ -23,8 +23,8 @@ def _scored(spark, sf_dir):
     return rows.select(((F.col("n_chars") % 97) / F.lit(97.0)).alias("score"), F.col("quality").alias("label"), "toxic")
 
 
-@R.add("""WITH l AS (SELECT quality AS grp, sum(toxic) AS k, count(*) AS n FROM labels GROUP BY quality), z AS (SELECT *, k / n AS p, CAST(1.959963984540054 AS DOUBLE) AS z FROM l)
-SELECT grp, CAST(k AS BIGINT) AS k, n, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS lo, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS hi FROM z""")
+@R.add("""WITH l AS (SELECT quality AS grp, sum(toxic) AS k, count(*) AS n FROM labels GROUP BY quality), z AS (SELECT *, CAST(1.959963984540054 AS DOUBLE) AS z FROM l)
+SELECT grp, CAST(k AS BIGINT) AS k, n, round((k + z*z/2 - z*sqrt(k*(n-k)/n + z*z/4)) / (n + z*z), 6) AS lo, round((k + z*z/2 + z*sqrt(k*(n-k)/n + z*z/4)) / (n + z*z), 6) AS hi FROM z""")
 def wilson_ci(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("grp")).agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n"))
     lo, hi = stats.wilson(F.col("k"), F.col("n"))
@@ -115,7 +115,7 @@ def corpus_profile(spark, sf_dir):
     return rounded(rows, "mean", "median")
 
 
-# -- compositions ------------------------------------------------------------------------------------------------------
+# -- compositions
 _EV = [("1-URGENT", 40), ("1-URGENT", 200), ("2-HIGH", 30), ("3-MEDIUM", 120), ("5-LOW", 300)]
 _EV_SQL = "ev(key, week) AS (VALUES " + ", ".join(f"('{k}', {w})" for k, w in _EV) + ")"
 
@@ -186,7 +186,7 @@ def filter_grouped_cv(spark, sf_dir):
     return filters.grouped_cv(rows, ["size", "marks", "capitals"], "label", "source")
 
 
-# -- streams -----------------------------------------------------------------------------------------------------------
+# -- streams
 @R.add("""SELECT CAST(date_trunc('week', ts) AS DATE) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_tumbling_counts(spark, sf_dir):
     rows = windows.stream_table(spark, sf_dir, "events")

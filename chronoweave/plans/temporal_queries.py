@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.operators import bursts, graph, temporal, themes
-from chronoweave.plans.graph_queries import edges
+from chronoweave.plans.graph_queries import edges, stored_edges
 from chronoweave.plans.registry import Registry, rounded
 from chronoweave.sources.fixtures import GRAPH_SQL, table
 
@@ -41,7 +41,7 @@ SELECT j.*, CAST(sum(formations) OVER o AS BIGINT) AS cum_relationships, CAST(su
 CASE WHEN time < CAST(floor(t * CAST(0.7 AS DOUBLE)) AS INTEGER) THEN 'train' WHEN time < CAST(floor(t * CAST(0.85 AS DOUBLE)) AS INTEGER)
 THEN 'valid' ELSE 'test' END AS split FROM j, span WINDOW o AS (ORDER BY time)""")
 def weekly_stats(spark, sf_dir):
-    return temporal.weekly_stats(edges(spark, sf_dir))
+    return temporal.weekly_stats(stored_edges(spark, sf_dir))
 
 
 _PIVOT = ", ".join(f"count(*) FILTER (WHERE rel = '{p}') AS \"{p}\"" for p in PRIORITIES)
@@ -66,7 +66,7 @@ def relation_mix_share(spark, sf_dir):
 v AS (SELECT time, n, avg(n) OVER (ORDER BY time ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS velocity FROM s)
 SELECT time, n, round(velocity, 6) AS velocity, round(velocity - lag(velocity) OVER (ORDER BY time), 6) AS acceleration FROM v""")
 def velocity_global(spark, sf_dir):
-    return rounded(temporal.global_velocity(edges(spark, sf_dir)), "velocity", "acceleration")
+    return rounded(temporal.global_velocity(stored_edges(spark, sf_dir)), "velocity", "acceleration")
 
 
 _ROLL_SQL = """roll AS (SELECT ent, b.time + o.k AS time, CAST(sum(n) AS BIGINT) AS velocity FROM both_ends b,
@@ -75,7 +75,7 @@ _ROLL_SQL = """roll AS (SELECT ent, b.time + o.k AS time, CAST(sum(n) AS BIGINT)
 
 @R.add(f"WITH {GRAPH_SQL}, {_ROLL_SQL} SELECT ent, CAST(time AS INTEGER) AS time, velocity FROM roll")
 def velocity_entity(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     return temporal.entity_velocity(temporal.entity_weeks(rows), n_times(rows))
 
 
@@ -87,13 +87,13 @@ m AS (SELECT ent, peak, avg(velocity) AS mu, stddev_pop(velocity) AS sd FROM den
 tot AS (SELECT ent, CAST(sum(n) AS BIGINT) AS total_formations, CAST(arg_max(time, (n, -time)) AS INTEGER) AS peak_week FROM both_ends GROUP BY ent)
 SELECT ent, total_formations, peak AS peak_velocity, peak_week, round((peak - mu) / greatest(sd, 1), 6) AS burst_z FROM m JOIN tot USING (ent)""")
 def burst_z(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     return rounded(temporal.burst_scores(temporal.entity_weeks(rows), n_times(rows)), "burst_z")
 
 
 @R.add(f"""WITH {GRAPH_SQL}, {_ROLL_SQL} SELECT ent, max(velocity) AS peak_velocity FROM roll GROUP BY ent ORDER BY 2 DESC, 1 LIMIT 20""")
 def velocity_leaderboard(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     scores = temporal.burst_scores(temporal.entity_weeks(rows), n_times(rows))
     return scores.select("ent", "peak_velocity").orderBy(F.desc("peak_velocity"), "ent").limit(20)
 
@@ -101,7 +101,7 @@ def velocity_leaderboard(spark, sf_dir):
 @R.add(f"""WITH {GRAPH_SQL} SELECT rel, count(*) FILTER (WHERE time < t // 2) AS early, count(*) FILTER (WHERE time >= t // 2) AS late,
 round(count(*) FILTER (WHERE time >= t // 2) / greatest(count(*) FILTER (WHERE time < t // 2), 1), 6) AS growth FROM forms, span GROUP BY rel""")
 def relation_growth(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     return rounded(temporal.relation_growth(rows, n_times(rows)), "growth")
 
 
@@ -116,7 +116,7 @@ SELECT ent, time, obs, round(obs - e, 6) AS excess, round((obs - e) / sqrt(e + {
 
 
 def _surprise(spark, sf_dir, alpha=0.0):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     return temporal.surprise(temporal.entity_weeks(rows), n_times(rows), alpha=alpha)
 
 
@@ -134,7 +134,7 @@ def surprise_nb(spark, sf_dir):
 SELECT ent, time, round(ln(1 + obs), 6) AS log_obs, round(ln(1 + e), 6) AS log_exp,
 round(greatest(-10, least(10, (obs - e) / sqrt(e + 1))) / 10, 6) AS z_scaled FROM x""")
 def surprise_features(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     out = temporal.surprise_features(temporal.entity_weeks(rows), n_times(rows))
     return rounded(out, "log_obs", "log_exp", "z_scaled")
 
@@ -146,20 +146,20 @@ _ALPHA_MEAN = 0.05
 s AS (SELECT ent, sum(n) / max(tr) AS m, sum(n * n) / max(tr) AS q FROM both_ends, k WHERE time < tr GROUP BY ent)
 SELECT round(median((q - m * m - m) / greatest(m * m, 1e-9)), 6) AS alpha, count(*) AS n_entities FROM s WHERE m >= {_ALPHA_MEAN}""")
 def dispersion_alpha(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     weeks = int(n_times(rows) * 0.7)
     return rounded(temporal.dispersion(temporal.entity_weeks(rows), weeks, _ALPHA_MEAN), "alpha")
 
 
-# -- bursts ------------------------------------------------------------------------------------------------------------
+# -- bursts
 def _global_series(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     formed = temporal.formations(rows).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
     return temporal.densified(formed, temporal.calendar(rows), "n").select(F.lit("all").alias("key"), "time", "n"), n_times(rows)
 
 
 def _relation_series(spark, sf_dir):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     grid = temporal.calendar(rows).crossJoin(F.broadcast(rows.select(F.col("rel").alias("key")).distinct()))
     formed = temporal.formations(rows).groupBy(F.col("rel").alias("key"), "time").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(formed, ["key", "time"], "left").fillna(0, ["n"]).select("key", "time", "n"), n_times(rows)
@@ -214,7 +214,7 @@ def bocd_bursts(spark, sf_dir):
 @R.add()
 def burst_catalogue(spark, sf_dir):
     """Entities with 30 formations or more, on densified series of the calendar's weeks."""
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     series = temporal.entity_weeks(rows)
     busy = series.groupBy("ent").agg(F.sum("n").alias("total")).where(F.col("total") >= bursts.LEAST_TOTAL).select("ent")
     weeks = F.sequence(F.lit(0), F.lit(n_times(rows) - 1))
@@ -223,7 +223,7 @@ def burst_catalogue(spark, sf_dir):
     return bursts.catalogue(dense, bursts.automaton(dense))
 
 
-# -- themes ------------------------------------------------------------------------------------------------------------
+# -- themes
 _Z, _OBS = 1.0, 4
 _CAND_SQL = f"""{_TRAIL_SQL}, sur AS (SELECT ent, CAST(time AS INTEGER) AS time, obs, obs - base * CAST(4 AS DOUBLE) / 26 AS excess,
 (obs - base * CAST(4 AS DOUBLE) / 26) / sqrt(base * CAST(4 AS DOUBLE) / 26 + 1) AS z FROM trail WHERE time >= 30),
@@ -231,7 +231,7 @@ cand AS (SELECT * FROM sur WHERE z >= {_Z} AND obs >= {_OBS} AND ent NOT IN ('S1
 
 
 def _candidates(spark, sf_dir, strict=False):
-    rows = edges(spark, sf_dir)
+    rows = stored_edges(spark, sf_dir)
     series = temporal.entity_weeks(rows)
     blocked = spark.createDataFrame([("S1",), ("S2",), ("C1",)], "ent string")
     sur = temporal.surprise(series, n_times(rows))

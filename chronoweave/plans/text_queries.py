@@ -79,12 +79,11 @@ def ontology_normalise(spark, sf_dir):
     return rows.select("id", ontology.normal_type(F.col("t")).alias("type"), ontology.normal_relation(F.col("r")).alias("relation"))
 
 
-_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[A-Za-z]*"
 _DATED = "text || ' On 2021-03-04 and Mar. 5, 2020 or 1/2/99, since 1998. ' || source || ' src'"
 
 
 @R.add(rf"""WITH d AS (SELECT doc_id, {_DATED} AS b, source FROM documents),
-m AS (SELECT doc_id, source, regexp_replace(regexp_replace(b, '\b(\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{2,4}})\b', '[DATE]', 'g'), '\b(?:19|20)\d{{2}}\b', '[YEAR]', 'g') AS b FROM d)
+m AS (SELECT doc_id, source, regexp_replace(regexp_replace(b, '\b(?:{text.DIGIT_DATE}|{text.NAMED_DATE})\b', '[DATE]', 'g'), '\b{text.FULL_YEAR}\b', '[YEAR]', 'g') AS b FROM d)
 SELECT doc_id, md5(regexp_replace(regexp_replace(b, '(^|{_NOT})' || source || '($|{_NOT})', '\1[ENT]\2', 'g'), '(^|{_NOT})' || source || '($|{_NOT})', '\1[ENT]\2', 'g')) AS masked FROM m""")
 def mask_text(spark, sf_dir):
     body = F.concat("text", F.lit(" On 2021-03-04 and Mar. 5, 2020 or 1/2/99, since 1998. "), "source", F.lit(" src"))
@@ -106,7 +105,7 @@ def length_histogram(spark, sf_dir):
 
 @R.add(r"""WITH a AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '{"label": "REAL", "rationale": "x"}' WHEN 1 THEN 'I think TEMPLATE fits' WHEN 2 THEN 'none of them'
 ELSE '{"label":"incoherent"}' END AS answer FROM part)
-SELECT p_partkey, coalesce(nullif(upper(regexp_extract(answer, '(?i)"label"\s*:\s*"(REAL|TEMPLATE|INCOHERENT)"', 1)), ''), nullif(upper(regexp_extract(answer, '(?i)\b(REAL|TEMPLATE|INCOHERENT)\b', 1)), ''), 'PARSE_FAIL') AS label FROM a""")
+SELECT p_partkey, coalesce(nullif(upper(regexp_extract(answer, '(?i)"label"\s*:\s*"(INCOHERENT|REAL|TEMPLATE)"', 1)), ''), nullif(upper(regexp_extract(answer, '(?i)\b(INCOHERENT|REAL|TEMPLATE)\b', 1)), ''), 'PARSE_FAIL') AS label FROM a""")
 def parse_label(spark, sf_dir):
     answers = ['{"label": "REAL", "rationale": "x"}', "I think TEMPLATE fits", "none of them", '{"label":"incoherent"}']
     pick = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
@@ -149,7 +148,7 @@ def relation_distribution(spark, sf_dir):
     return rounded(distribution(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rel")), "rel"), "share")
 
 
-# -- provenance: a theme is a customer nation, its members suppliers ----------------------------------------------------
+# -- provenance: a theme is a customer nation, its members suppliers
 _THEMES_SQL = """nm AS (SELECT c_nationkey AS theme, o_orderkey AS article, o_orderdate AS ts, 'C' || o_custkey AS head, 'S' || l_suppkey AS tail
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 members AS (SELECT theme, tail AS name, CAST(count(*) AS DOUBLE) AS excess FROM nm GROUP BY ALL),
@@ -246,7 +245,7 @@ def build_prompts(spark, sf_dir):
 
 
 
-# -- audit -------------------------------------------------------------------------------------------------------------
+# -- audit
 @R.add(f"""{_PROV}, r AS (SELECT theme, bool_or(name IN ('S7')) AS noise, bool_or(name IN ('S8', 'S9')) AS rl FROM tm GROUP BY theme),
 s AS (SELECT theme FROM (SELECT DISTINCT theme FROM tm) ORDER BY md5('42|' || theme), theme LIMIT 6)
 SELECT r.theme, CASE WHEN noise THEN 'control_noise' WHEN rl THEN 'control_real' ELSE 'sample' END AS role FROM r LEFT JOIN s ON s.theme = r.theme WHERE noise OR rl OR s.theme IS NOT NULL""")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.ontology import TYPE_IDS, type_id
 from chronoweave.functions.text import is_brand
-from chronoweave.operators.graph import split_bounds, split_index, without_entities, without_relations
+from chronoweave.operators.graph import QUAD, split_bounds, split_index, without_entities, without_relations
 
 ENTITIES, RELATIONS, TIMES = "entity2id.txt", "relation2id.txt", "time2date.txt"
 EDGES, STAT = "edges_weighted.tsv", "stat.txt"
+SPLITS = "train valid test".split()
 EDGE_SCHEMA = "subj int, rel int, obj int, time_id int, weight int"
 
 
@@ -81,8 +82,8 @@ def store(entities: DataFrame, relations: DataFrame, times: DataFrame, edges: Da
     put(times.select(F.col("time"), F.col("bucket").cast("date")), TIMES)
     put(edges.select("subj", "rel", "obj", F.col("time").alias("time_id"), "weight"), EDGES, header=True)
     placed = split_index(edges)
-    for split in ("train", "valid", "test"):
-        put(placed.where(F.col("split") == split).select("subj", "rel", "obj", "time", "idx"), f"{split}.txt")
+    for split in SPLITS:
+        put(placed.where(F.col("split") == split).select(*QUAD, "idx"), f"{split}.txt")
     spark = edges.sparkSession
     spark.createDataFrame([(" ".join(map(str, n)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{STAT}")
 
@@ -91,7 +92,7 @@ def check(spark: SparkSession, path: str) -> DataFrame:
     """check, ok: ids in range, weights positive, splits disjoint and ordered, sizes as stated."""
     kg = TemporalGraph.load(spark, path)
     first_valid, first_test = kg.bounds()
-    parts = {s: _tsv(spark, f"{path}/{s}.txt", "subj int, rel int, obj int, time int, idx long") for s in ("train", "valid", "test")}
+    parts = {s: _tsv(spark, f"{path}/{s}.txt", "subj int, rel int, obj int, time int, idx long") for s in SPLITS}
     union = None
     for name, part in parts.items():
         row = part.agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("lo"), F.max("time").alias("hi")).withColumn("split", F.lit(name))

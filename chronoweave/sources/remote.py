@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: A record of a numbered news file starts a line with its number and a date.
-RECORD = r"(?:^|\n)(\d+(?:\.\d+)?,\d{4}-\d{2}-\d{2} [^\n]*)"
+RECORD = r"(?:^|\n)([0-9]+(?:\.[0-9]+)?,[0-9]{4}(?:-[0-9]{2}){2} [^\n]*)"
 
 
 def fetch(url: str, first: int | None = None, last: int | None = None) -> bytes:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import audit
+from chronoweave.operators.graph import QUAD
 from chronoweave.operators.linkpred import recurrence_ranks
 from chronoweave.operators.runtime import scratch
 from chronoweave.sources import remote
@@ -84,7 +85,7 @@ def test_streamed_ranks_equal_the_batch(spark):
         frame.where(F.col("time") == t).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = RankSweep(spark, 7, frame.schema).run(stream)
-    columns = ["subj", "rel", "obj", "time", "seen", "direction", "rank"]
+    columns = [*QUAD, "seen", "direction", "rank"]
     want = recurrence_ranks(frame, 0, 7)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
