@@ -41,7 +41,7 @@ END = np.uint64(0x9E6C63D0876A9A47)
 ORDERS = (1, 2)
 
 
-# -- chunks ------------------------------------------------------------------------------------------------------------
+# -- chunks
 def chunks(batches, groups=(0, 1)):
     """(chunk, texts) of a scan task's rows (doc_id, text, fold), in their order: group 1 has the rows held out for the
     weights, group 0 all others. The cut depends on the rows only, so every pass over a task's rows gives the same."""
@@ -102,7 +102,7 @@ def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
 
 
-# -- counts ------------------------------------------------------------------------------------------------------------
+# -- counts
 def small(counts: np.ndarray) -> bytes:
     """Counts as bytes; those over 254 follow as longs, in order."""
     large = counts > 254
@@ -199,7 +199,7 @@ def token_counts(texts, answer: pa.Table, column: str):
     return single, context, gathered(answer, column, 2, len(distinct))[inverse], first
 
 
-# -- weights -----------------------------------------------------------------------------------------------------------
+# -- weights
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
@@ -230,7 +230,7 @@ def learn_weights(cells: np.ndarray, uniform: float) -> np.ndarray:
     return weights
 
 
-# -- scores ------------------------------------------------------------------------------------------------------------
+# -- scores
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     shards = shards or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // SHARD_BYTES)

@@ -107,10 +107,12 @@ def shared(fp: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = int(parent[x])
-    return x
+    root = x
+    while parent[root] != root:
+        root = int(parent[root])
+    while parent[x] != root:
+        parent[x], x = root, int(parent[x])
+    return root
 
 
 def forest(fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
