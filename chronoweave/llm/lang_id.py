@@ -168,7 +168,7 @@ def places(grams: np.ndarray, m: int) -> list[np.ndarray]:
 
 def learn(train: DataFrame) -> Model:
     """train: lang, text. What comes to the driver: a row a language, and at most 1 / MIN_SHARE n-grams a language."""
-    train = train.where("lang is not null")
+    train = train.select("lang", "text").where("lang is not null")
     rows = train.groupBy("lang").count().collect()
     total = sum(r["count"] for r in rows)
     kept = sorted((-r["count"], r["lang"]) for r in rows if r["count"] >= MIN_LANG_SHARE * total)

@@ -36,7 +36,7 @@ from chronoweave.llm.common import table, written
 #: Words that a repeated run has at least.
 MIN_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
-_ROW, _LINES = "__row", "__lines"
+_ROW, _LINES, _GONE = "__row", "__lines", "__gone"
 
 
 def _worded(line: Column) -> Column:
@@ -108,7 +108,7 @@ def windows(places: DataFrame, min_words: int) -> DataFrame:
 
 
 def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, gone: of each row of docs (with its row number) that loses lines, the places of those that go."""
+    """row, its lines that go: of each row of docs (with its row number) that loses lines, the places of those that go."""
     every = written(lines(docs), "lines")
     places = written(every.join(ranked(every, ["a", "b"]), ["a", "b"]).select(_ROW, "doc_id", "idx", "pos", "words", "rank"), "places")
     wanted = written(windows(places, min_words), "windows")
@@ -136,7 +136,7 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     gone = later.select(_ROW, F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("n") - 1)).alias("at"))
     placed = gone.distinct().join(places.select(_ROW, F.col("idx").alias("at"), "pos"), [_ROW, "at"])
-    return placed.groupBy(_ROW).agg(F.collect_set("pos").alias("gone"))
+    return placed.groupBy(_ROW).agg(F.collect_set("pos").alias(_GONE))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -150,14 +150,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) ->
     cut = numbered.select(_ROW, *[c for c in docs.columns if c != "text"], F.split("text", "\n").alias(_LINES))
     joined = cut.join(gone, _ROW, "left")
     own = F.col(_LINES)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(_GONE))
+    kept = F.when(F.col(_GONE).isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
     text = F.array_join(kept, "\n")
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if report:
         out += [
             F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+            F.coalesce(F.size(_GONE), F.lit(0)).cast("long").alias("n_removed"),
         ]
     return joined.select(*out)
 

@@ -80,6 +80,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, quality; both already without held-out rows."""
+    docs = docs.select("doc_id", "text")
     marked = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy("doc_id")

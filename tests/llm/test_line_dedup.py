@@ -31,7 +31,7 @@ def slow(rows, least=8):
 
 
 def run(spark, rows, least=8):
-    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, rank string").coalesce(1)
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, gone string").coalesce(1)
     out = line_dedup.dedup(docs, least)
     assert out.columns == docs.columns
     return [(r.doc_id, r.text) for r in out.collect()]

@@ -15,6 +15,7 @@ def test_defined_cases(spark):
     good = [(k, f"plain words in a row number {k} " * 9) for k in range(60)]
     bad = [(100 + k, f"%%% ### $$$ {k} " * 20) for k in range(60)]
     docs = spark.createDataFrame([*good, *bad, (500, None), (501, ""), (None, "plain words")], "doc_id long, text string")
+    docs = docs.selectExpr("*", "1 as good", "2 as h")
     labels = spark.createDataFrame(
         [(k, 1) for k, _ in good] + [(k, 0) for k, _ in bad] + [(3, 1), (7, None), (None, 0)], "doc_id long, quality int"
     )
