@@ -295,7 +295,8 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, buc
     classes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", _ROW)).alias("least"))
     member = classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp")
     kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col(f"least.{_ROW}").alias(_ROW))
-    return numbered.join(kept, _ROW, "left_semi").select(*docs.columns)
+    # texts are shuffled once and never sorted; the other side is row numbers
+    return numbered.join(kept.hint("shuffle_hash"), _ROW, "left_semi").select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
