@@ -148,7 +148,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) ->
     gone = deleted(numbered.select(_ROW, "doc_id", "text"), min_words)
     # the lines are cut below the join, so that the lambdas above it read an array that is there
     cut = numbered.select(_ROW, *[c for c in docs.columns if c != "text"], F.split("text", "\n").alias(_LINES))
-    joined = cut.join(gone, _ROW, "left")
+    joined = cut.join(gone.hint("shuffle_hash"), _ROW, "left")
     own = F.col(_LINES)
     stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(_GONE))
     kept = F.when(F.col(_GONE).isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
