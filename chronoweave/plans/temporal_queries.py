@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.operators import bursts, graph, temporal, themes
+from chronoweave.operators.runtime import written
 from chronoweave.plans.graph_queries import edges, stored_edges
 from chronoweave.plans.registry import Registry, rounded
 from chronoweave.sources.fixtures import GRAPH_SQL, table
@@ -235,7 +236,7 @@ def _candidates(spark, sf_dir, strict=False):
     series = temporal.entity_weeks(rows)
     blocked = spark.createDataFrame([("S1",), ("S2",), ("C1",)], "ent string")
     sur = temporal.surprise(series, n_times(rows))
-    return themes.candidates(sur, series, blocked, strict, _Z, _OBS), rows
+    return written(themes.candidates(sur, series, blocked, strict, _Z, _OBS), "candidates"), rows
 
 
 @R.add(f"""WITH {GRAPH_SQL}, {_CAND_SQL}, f AS (SELECT *, CASE WHEN time - lag(time) OVER o > 4 OR lag(time) OVER o IS NULL THEN 1 ELSE 0 END AS nw FROM cand

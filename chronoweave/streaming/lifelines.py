@@ -21,9 +21,7 @@ def _dump(state: Lifelines) -> str:
 
 
 def _load(text: str) -> Lifelines:
-    state = Lifelines()
-    state.known = {t: {**v, "members": set(v["members"])} for t, v in json.loads(text)}
-    return state
+    return Lifelines(known={t: {**v, "members": set(v["members"])} for t, v in json.loads(text)})
 
 
 def theme_weeks(clusters: DataFrame) -> DataFrame:
