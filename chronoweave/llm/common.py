@@ -39,8 +39,10 @@ def fold(key: Column, modulus: int) -> Column:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor and the driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    base = base or context.getCheckpointDir()
+    if not base:
         base = "/tmp/chronoweave-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/chronoweave-{what}-{uuid.uuid4().hex}"
