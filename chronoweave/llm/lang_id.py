@@ -2,7 +2,8 @@
 
 Learning: every training text gives its 4-byte n-grams (lower case, anything but letters is one space); they are counted
 per language over all training rows. A language contains an n-gram if the n-gram makes up at least ``MIN_SHARE`` of the
-language's n-grams and at least ``MIN_RATIO`` of its largest share in any language. So a language holds at most
+language's n-grams and at least ``MIN_RATIO`` of its largest share in any language. Every language of the training rows
+is learned, however rare. So a language holds at most
 1 / MIN_SHARE n-grams, whatever the size of the corpus, and the model that is broadcast is bounded by
 languages / MIN_SHARE rows.
 
@@ -29,8 +30,6 @@ from pyspark.sql import types as T
 from chronoweave.llm.common import CHUNK_BYTES, buffers, fold, mix, runs, table
 
 MIN_SHARE, MIN_RATIO = 1e-5, 0.2
-#: Languages with a smaller share of the training rows aren't learned; so there are at most 1 / MIN_LANG_SHARE.
-MIN_LANG_SHARE = 1e-3
 HASHES = 3
 #: Rows of the bit-sliced table for each n-gram of the largest language, rounded up to a power of two.
 ROWS_PER_GRAM = 8
@@ -134,13 +133,16 @@ class Model:
 
     def popcounts(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         """[texts, languages]: of how many n-grams each language's filter says that it contains them."""
-        out = np.empty((len(at) - 1, len(self.langs)))
+        out = np.zeros((len(at) - 1, len(self.langs)))
         rows = places(grams, len(self.masks))
         for w in range(self.masks.shape[1]):
             found = self.masks[rows[0], w]
             for r in rows[1:]:
                 found &= self.masks[r, w]
+            some = int(np.bitwise_or.reduce(found))
             for j in range(64 * w, min(len(self.langs), 64 * w + 64)):
+                if not some >> (j - 64 * w) & 1:
+                    continue
                 sums = np.zeros(len(grams) + 1, np.int64)
                 np.cumsum((found >> np.uint64(j - 64 * w)) & np.uint64(1), out=sums[1:])
                 out[:, j] = sums[at[1:]] - sums[at[:-1]]
@@ -170,17 +172,15 @@ def learn(train: DataFrame) -> Model:
     """train: lang, text. What comes to the driver: a row a language, and at most 1 / MIN_SHARE n-grams a language."""
     train = train.select("lang", "text").where("lang is not null")
     rows = train.groupBy("lang").count().collect()
-    total = sum(r["count"] for r in rows)
-    kept = sorted((-r["count"], r["lang"]) for r in rows if r["count"] >= MIN_LANG_SHARE * total)
-    langs = [name for _, name in kept]
+    langs = [name for _, name in sorted((-r["count"], r["lang"]) for r in rows)]
     if not langs:
         return Model.build([], [])
-    held = gram_counts(train.where(F.col("lang").isin(langs))).persist()
-    sums = {r["lang"]: r["s"] for r in held.groupBy("lang").agg(F.sum("n").alias("s")).collect()}
-    if not sums:
+    held = gram_counts(train).persist()
+    if held.isEmpty():
+        held.unpersist()
         return Model.build([], [])
-    size = F.create_map(*[x for k, v in sums.items() for x in (F.lit(k), F.lit(float(v)))])
-    share = held.select("lang", "gram", (F.col("n") / size[F.col("lang")]).alias("share")).where(
+    sums = F.broadcast(held.groupBy("lang").agg(F.sum("n").alias("size")))
+    share = held.join(sums, "lang").select("lang", "gram", (F.col("n") / F.col("size")).alias("share")).where(
         F.col("share") >= MIN_SHARE * MIN_RATIO
     )
     least = share.groupBy("gram").agg(F.max("share").alias("most"))
@@ -189,8 +189,11 @@ def learn(train: DataFrame) -> Model:
     )
     got = chosen.select("lang", "gram").toArrow()
     held.unpersist()
-    names, grams = np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy()
-    return Model.build(langs, [(grams[names == name].astype(np.uint32), j) for j, name in enumerate(langs)])
+    lang = pc.index_in(got.column("lang"), value_set=pa.array(langs)).to_numpy()
+    order = np.argsort(lang, kind="stable")
+    grams = got.column("gram").to_numpy()[order].astype(np.uint32)
+    ends = np.searchsorted(lang[order], np.arange(len(langs) + 1))
+    return Model.build(langs, [(grams[ends[j] : ends[j + 1]], j) for j in range(len(langs))])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

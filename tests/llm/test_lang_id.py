@@ -57,3 +57,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{data_dir('sf0.01')}/documents.parquet")
     got = lang_id.op1_lang_id(spark, data_dir("sf0.01")).where("held_out").join(docs, "doc_id").collect()
     assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = TRAIN[:2] * 1500 + [("fi", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan")]
+    rows += [(f"x{k}", f"qz{k:03d} " + " ".join(chr(97 + k % 26) * 3 + chr(97 + j) * 2 for j in range(26))) for k in range(70)]
+    m = lang_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(m.langs) == 72 and m.masks.shape[1] == 2
+    docs = spark.createDataFrame([(1, "ihmiset syntyvät vapaina"), (2, "the other words")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in lang_id.predict(docs, m).collect()} == {1: "fi", 2: "en"}
+    assert lang_id.known(docs, m).count() == 2
