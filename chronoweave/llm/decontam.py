@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 A document is contaminated by an item if some window of as many words as the item has a weighted Jaccard similarity of at
-least ``SIMILARITY`` with it: five-word shingles, each weighted by how often it occurs (sum of minima by sum of maxima).
+least ``SIMILARITY`` with it (a text shorter than the item is one window): five-word shingles, each weighted by how often it occurs (sum of minima by sum of maxima).
 
 1. Such a window has at least SIMILARITY of its shingles among the benchmark's, so windows with fewer are passed over
    (this loses nothing); the benchmark's shingles are one sorted array behind a bit table.
@@ -132,25 +132,31 @@ class Benchmark:
         place[region] = np.arange(len(region))
         text = np.searchsorted(first, region, "right") - 1
         room = first[text + 1] - region - SHINGLE + 1  # shingles from here to the text's end
+        size = np.diff(first) - SHINGLE + 1  # shingles of each text
         ones = None
         for n, (items, index) in self.by_size.items():
             fits = region[room >= n]
-            fits = fits[(seen[fits + n] - seen[fits]) >= SIMILARITY * n - 1e-9]
+            # a text that is shorter than the item, but not by too much, is one window
+            whole = np.flatnonzero((size < n) & (size >= SIMILARITY * n - 1e-9))
+            length = np.concatenate((np.full(len(fits), n), size[whole]))
+            fits = np.concatenate((fits, first[whole]))
+            enough = (seen[fits + length] - seen[fits]) >= SIMILARITY * n - 1e-9
+            fits, length = fits[enough], length[enough]
             if not len(fits):
                 continue
             if ones is None:
                 ones = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_ones(g[region]), 0, dtype=np.int32)))
             start = place[fits]
             for cut in range(0, len(fits), 50_000):
-                s = start[cut : cut + 50_000]
-                query, item = index.within(simhash(ones[s + n] - ones[s], n))
+                s, long = start[cut : cut + 50_000], length[cut : cut + 50_000]
+                query, item = index.within(simhash(ones[s + long] - ones[s], long[:, None]))
                 for q, i in zip((query + cut).tolist(), item.tolist()):
-                    where = int(fits[q])
+                    where, some = int(fits[q]), int(length[q])
                     own = int(np.searchsorted(first, where, "right")) - 1
-                    similarity = weighted_jaccard(items[i][1], g[where : where + n])
+                    similarity = weighted_jaccard(items[i][1], g[where : where + some])
                     if similarity >= SIMILARITY:
                         key = own + base, items[i][0]
-                        best[key] = max(best.get(key, (0.0, 0, 0)), (similarity, -(where - int(first[own])), n))
+                        best[key] = max(best.get(key, (0.0, 0, 0)), (similarity, -(where - int(first[own])), some))
 
 
 def _ones(g: np.ndarray) -> np.ndarray:

@@ -90,3 +90,26 @@ def test_empty_tables(spark):
     assert decontam.matches(docs, none).collect() == [] and decontam.clean(docs, none).count() == 1
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.matches(docs.limit(0), items).collect() == [] and decontam.clean(docs, items).count() == 0
+
+
+def test_texts_shorter_than_the_item_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(rng.choice([f"v{j}" for j in range(300)], int(rng.integers(5, 60))))) for k in range(40)]
+    docs = []
+    for _, text in items:
+        passage = text.split(" ")
+        for cut in (1, 2, 4, 8, 12):
+            docs += [(len(docs), " ".join(passage[:-cut])), (len(docs) + 1, " ".join(passage[cut:]).title())]
+    want = {}
+    for doc, text in docs:
+        x = shingles(words(text))
+        for item, passage in items:
+            s = shingles(words(passage))
+            both = sum((x & s).values())
+            share = both / (sum(x.values()) + sum(s.values()) - both)
+            if share >= 0.8 and len(words(text)) < len(words(passage)):
+                want[doc, item] = len(words(text)), round(share, 9)
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_words, round(r.similarity, 9)) for r in decontam.matches(frame, benchmark).collect()}
+    assert got == want and len(want) > 60
+    assert {r.doc_id for r in decontam.clean(frame, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in want}
