@@ -13,9 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that the vectorised loops look at together; longer texts are taken whole.
 CHUNK_BYTES = 2_000_000
+#: Files, one short row each, up to which their list is broadcast.
+MAX_FILES = 100_000
 #: Upper case to lower case, ASCII only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_NP = np.frombuffer(LOWER, np.uint8)
@@ -43,6 +46,8 @@ def scratch(spark: SparkSession, what: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     base = base or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "/tmp/chronoweave-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/chronoweave-{what}-{uuid.uuid4().hex}"
@@ -57,6 +62,53 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that no later plan reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/chronoweave-" in path:
+                jvm = df.sparkSession.sparkContext._jvm
+                hadoop = jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def place(df: DataFrame, name: str) -> int:
+    """Position of a column: the one of that very name, else the one that only differs in case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether df is one scan of Parquet files under deterministic projections and filters only."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1, ... and ``row``, a number that every scan gives the same row.
+
+    Of Parquet files it is the file's place in name order and the row's place in the file, whatever splits the scan makes.
+    Anything else is written to the shared folder with its numbers first, and read from there.
+    """
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    if "_metadata" not in docs.columns and _scanned(docs):
+        meta = plain.metadataColumn("_metadata")
+        rows = plain.select(*columns, meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+        # one row a file; the files are few enough for the driver's own list of them
+        files = rows.select("file").distinct()
+        files = written(files.withColumn("no", F.row_number().over(Window.orderBy("file"))), "files")
+        if files.count() <= MAX_FILES:
+            row = F.shiftleft(F.coalesce(F.col("no").cast("long"), F.raise_error("a file changed").cast("long")), 36) + F.col("at")
+            return rows.join(F.broadcast(files), "file", "left").select(*columns, row.alias("row"))
+    return written(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column one after another, and the n + 1 offsets of the texts."""
     if isinstance(column, pa.ChunkedArray):

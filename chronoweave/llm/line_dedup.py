@@ -19,8 +19,10 @@ Skew: a line, or a copied text, that makes up a third of all rows only meets per
 the shuffle) and joins of unsalted keys that adaptive execution may split; no window or list is keyed by content. The
 only lists are those of one text.
 
-Defined cases: null text: kept as null, no lines. Empty text: one line without words. Repeated rows: all but the first
-lose what qualifies. Null doc_id: comes before all others. Empty table: empty result. Other columns pass through.
+Defined cases: null text: kept as null, no lines. Empty text: one line without words. Very long texts: lines of one text
+are rows like any others; only its places that go are one list. Repeated rows: all but the first lose what qualifies.
+Null doc_id: comes before all others. Rows with the same doc_id: in order of file and place. Empty table: empty result.
+Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoweave.llm.common import table, written
+from chronoweave.llm.common import dropped, numbered, place, table, written
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 8
 WORD = r"[^\x20\x09-\x0D]+"
-_ROW, _LINES, _GONE = "__row", "__lines", "__gone"
+_ROW, _LINES, _GONE = "row", "own_lines", "gone"
 
 
 def _worded(line: Column) -> Column:
@@ -123,6 +125,7 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = keyed.join(ranks.withColumnRenamed("rank", "head"), [_ROW, "idx", "k"])
     tails = ranks.select(_ROW, F.col("idx").alias("last"), "k", F.col("rank").alias("tail"))
     keyed = written(keyed.join(tails, [_ROW, "last", "k"]).select(_ROW, "doc_id", "idx", "n", "head", "tail"), "intervals")
+    dropped(every, wanted, *levels[1:])
     first = keyed.groupBy("n", "head", "tail").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", _ROW, "idx")).alias("first")
     )
@@ -136,30 +139,31 @@ def deleted(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     gone = later.select(_ROW, F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("n") - 1)).alias("at"))
     placed = gone.distinct().join(places.select(_ROW, F.col("idx").alias("at"), "pos"), [_ROW, "at"])
-    return placed.groupBy(_ROW).agg(F.collect_set("pos").alias(_GONE))
+    out = written(placed.groupBy(_ROW).agg(F.collect_set("pos").alias(_GONE)), "gone")
+    dropped(places, keyed, first)
+    return out
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """All rows and columns of docs, the text without deleted lines; ``report`` adds n_lines and n_removed.
-
-    docs is scanned twice and must give its rows in the same order both times, as file scans do.
-    """
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    gone = deleted(numbered.select(_ROW, "doc_id", "text"), min_words)
+    """All rows and columns of docs, the text without deleted lines; ``report`` adds n_lines and n_removed."""
+    base = numbered(docs)
+    at, columns = place(docs, "text"), base.columns[:-1]
+    own_id = F.col(columns[place(docs, "doc_id")]).cast("long").alias("doc_id")
+    gone = deleted(base.select(_ROW, own_id, F.col(columns[at]).alias("text")), min_words)
     # the lines are cut below the join, so that the lambdas above it read an array that is there
-    cut = numbered.select(_ROW, *[c for c in docs.columns if c != "text"], F.split("text", "\n").alias(_LINES))
+    kept = [c for c in columns if c != columns[at]]
+    cut = base.select(_ROW, *kept, F.split(columns[at], "\n").alias(_LINES))
     joined = cut.join(gone.hint("shuffle_hash"), _ROW, "left")
     own = F.col(_LINES)
     stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(_GONE))
-    kept = F.when(F.col(_GONE).isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
-    text = F.array_join(kept, "\n")
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    if report:
-        out += [
-            F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size(_GONE), F.lit(0)).cast("long").alias("n_removed"),
-        ]
-    return joined.select(*out)
+    left = F.when(F.col(_GONE).isNull(), own).otherwise(F.transform(stay, lambda i: F.get(own, i)))
+    out = [F.array_join(left, "\n").alias(c) if c == columns[at] else F.col(c) for c in columns]
+    out = joined.select(
+        *out,
+        F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(_GONE), F.lit(0)).cast("long").alias("n_removed"),
+    )
+    return out.toDF(*docs.columns, "n_lines", "n_removed") if report else out.select(*columns).toDF(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

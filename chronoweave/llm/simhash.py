@@ -14,7 +14,8 @@ Only a spanning forest of what is found leaves a masked value, never all its pai
 Components come from large-star/small-star rounds, each cut by a table in the shared folder.
 
 Defined cases: null or empty text: fingerprint zero. Null doc_id: carried, never a component's name unless alone with
-other null ids (then component_id is null). Repeated rows stay repeated and share a component. Empty table: empty result.
+other null ids (then component_id is null). Repeated rows stay repeated and share a component. Very long texts are hashed
+whole, one at a time. Empty table: empty result. Other columns aren't read; ``survivors`` passes them through.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import LOWER, buffers, table, written
+from chronoweave.llm.common import LOWER, buffers, numbered, place, table, written
 
 #: Contract of the query: words of a shingle, most differing bits.
 SHINGLE, RADIUS = 4, 4
-_ROW = "__row"
+_ROW = "row"
 #: Rows of one masked value that one group may hold; larger ones are cut into slices of this size.
 BUCKET_ROWS = 20_000
 #: Rows that share a masked value, on average, up to which masks need not be longer.
@@ -273,30 +274,35 @@ def roots(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
     return fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _named(classes: DataFrame, radius: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """fp, root of each class (fp, least), and root, least of each component. Both are tables, so that a join of them
+    has its shuffle to itself and a component with very many fingerprints can be split."""
+    member = written(classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp"), "members")
+    return member.select("fp", "root"), written(member.groupBy("root").agg(F.min("least").alias("least")), "names")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable through links, its own included) of every row of docs."""
     fps = written(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    member = classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp")
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.join(named, "root").select("fp", "component_id")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    member, names = _named(classes, radius, bucket_rows)
+    by_fp = written(member.join(names, "root").select("fp", F.col("least").alias("component_id")), "by-fingerprint")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """All columns of one row of each component of docs: the smallest doc_id (null first), then the first row.
-
-    docs is scanned twice and must give its rows in the same order both times, as file scans do.
-    """
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    fps = written(fingerprints(numbered.select(_ROW, "doc_id", "text"), shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", _ROW)).alias("least"))
-    member = classes.join(roots(classes.select("fp"), radius, bucket_rows), "fp")
-    kept = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col(f"least.{_ROW}").alias(_ROW))
+    """All columns of one row of each component of docs: the smallest doc_id (null first), then the first row."""
+    base = numbered(docs)
+    columns = base.columns[:-1]
+    own = base.select(_ROW, F.col(columns[place(docs, "doc_id")]).alias("doc_id"), F.col(columns[place(docs, "text")]).alias("text"))
+    fps = written(fingerprints(own, shingle), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min(F.struct("doc_id", _ROW)).alias("least")), "classes")
+    _, names = _named(classes, radius, bucket_rows)
     # texts are shuffled once and never sorted; the other side is row numbers
-    return numbered.join(kept.hint("shuffle_hash"), _ROW, "left_semi").select(*docs.columns)
+    kept = names.select(F.col(f"least.{_ROW}").alias(_ROW))
+    return base.join(kept.hint("shuffle_hash"), _ROW, "left_semi").select(*columns).toDF(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
