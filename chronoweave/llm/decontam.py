@@ -9,15 +9,19 @@ least ``SIMILARITY`` with it (a text shorter than the item is one window): five-
    two within ``RADIUS`` = 19 bits, one block differs in at most 4, and every item is stored under all such values.
 3. Pairs within the radius are verified by the exact similarity.
 
-The benchmark is indexed in groups of ``ITEM_GROUP`` items, one scan of the documents for each, so that what a worker
-holds has a bound whatever the benchmark's size. Nothing is shuffled.
+The index holds some 50 bytes a shingle of the benchmark: each block's values with their items, looked up under all 2,517
+values within 4 bits. Up to ``GROUP_BYTES`` of items' text are one index and one scan of the documents, without a
+shuffle; a larger benchmark is dealt into groups of that size, each a scan of its own whose finds are written, so what a
+worker holds has a bound whatever the benchmark's size.
 
 Defined cases: items with fewer than five words, or null, take no part; two items with the same text both count. Null
-texts have no windows. Repeated rows are judged one by one. Empty tables: no rows. Other columns are passed through.
+texts have no windows. Very long texts are searched whole. Repeated rows are judged one by one. Empty tables: no rows.
+``clean`` passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import buffers, grams, runs, table, words
+from chronoweave.llm.common import buffers, grams, place, runs, table, words, written
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS, BLOCK_RADIUS = 4, 4
-ITEM_GROUP = 2000
+#: Bytes of items' text that one index holds: 80,000 items of 400 bytes.
+GROUP_BYTES = 32_000_000
 _BITS = 20
 
 _FLIPS = np.array(
@@ -56,29 +61,34 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> float:
 
 
 class Hamming:
-    """Multi-index of the fingerprints of the items of one size."""
+    """Multi-index of the fingerprints of the items of one size: items by the value of each block."""
 
     def __init__(self, fps: np.ndarray):
         self.fps = fps
         self.tables = []
         for value in blocks(fps):
-            stored = (value[:, None] ^ _FLIPS[None]).ravel()
-            item = np.repeat(np.arange(len(fps)), len(_FLIPS))
-            order = np.argsort(stored, kind="stable")
-            self.tables.append((stored[order], item[order]))
+            order = np.argsort(value, kind="stable")
+            known, first = np.unique(value[order], return_index=True)
+            self.tables.append((known, np.append(first, len(fps)), order))
 
     def within(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs within RADIUS, each once."""
-        found = []
-        for value, (stored, item) in zip(blocks(q), self.tables):
-            a, b = np.searchsorted(stored, value, "left"), np.searchsorted(stored, value, "right")
-            n = b - a
-            query = np.repeat(np.arange(len(q)), n)
-            at = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            found.append(query * len(self.fps) + item[at])
+        found = [np.empty(0, np.int64)]
+        for value, (known, first, order) in zip(blocks(q), self.tables):
+            if len(known) > len(_FLIPS):
+                # the query's neighbours are looked up among the values
+                near = value[:, None] ^ _FLIPS[None]
+                at = np.minimum(np.searchsorted(known, near), len(known) - 1)
+                query, flip = np.nonzero(known[at] == near)
+                at = at[query, flip]
+            else:
+                query, at = np.nonzero(np.bitwise_count(value[:, None] ^ known[None]) <= BLOCK_RADIUS)
+            n = first[at + 1] - first[at]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+            found.append(np.repeat(query, n) * len(self.fps) + order[place])
         query, item = np.divmod(np.unique(np.concatenate(found)), len(self.fps))
-        near = np.bitwise_count(q[query] ^ self.fps[item]) <= RADIUS
-        return query[near], item[near]
+        close = np.bitwise_count(q[query] ^ self.fps[item]) <= RADIUS
+        return query[close], item[close]
 
 
 class Benchmark:
@@ -147,8 +157,8 @@ class Benchmark:
             if ones is None:
                 ones = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_ones(g[region]), 0, dtype=np.int32)))
             start = place[fits]
-            for cut in range(0, len(fits), 50_000):
-                s, long = start[cut : cut + 50_000], length[cut : cut + 50_000]
+            for cut in range(0, len(fits), 2000):
+                s, long = start[cut : cut + 2000], length[cut : cut + 2000]
                 query, item = index.within(simhash(ones[s + long] - ones[s], long[:, None]))
                 for q, i in zip((query + cut).tolist(), item.tolist()):
                     where, some = int(fits[q]), int(length[q])
@@ -163,14 +173,15 @@ def _ones(g: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def groups(items: DataFrame, size: int = ITEM_GROUP):
-    """The benchmark's items in lists of ``size``; only one list is on the driver at a time."""
-    held: list[tuple[int, str]] = []
+def groups(items: DataFrame, size: int | None = None):
+    """The benchmark's items in lists of about ``size`` bytes; only one list is on the driver at a time."""
+    size, held, bytes_ = size or GROUP_BYTES, [], 0
     for row in items.where("text is not null").select("item_id", "text").toLocalIterator():
         held.append((row[0], row[1]))
-        if len(held) == size:
+        bytes_ += len(row[1])
+        if bytes_ >= size:
             yield held
-            held = []
+            held, bytes_ = [], 0
     if held:
         yield held
 
@@ -179,7 +190,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document row and item."""
     schema = "doc_id long, item_id long, first_word int, n_words int, similarity double"
     spark = docs.sparkSession
-    source, out = docs.select(F.col("doc_id").cast("long"), "text"), spark.createDataFrame([], schema)
+    source, out = docs.select(F.col("doc_id").cast("long"), "text"), []
     for group in groups(items):
         shared = spark.sparkContext.broadcast(group)
 
@@ -198,15 +209,19 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                     names=["doc_id", "item_id", "first_word", "n_words", "similarity"],
                 )
 
-        out = out.unionAll(source.mapInArrow(run, schema))
-    return out
+        # the finds of a group are written before the next one is indexed
+        out = [*out[:-1], *[written(x, "finds") for x in out[-1:]], source.mapInArrow(run, schema)]
+    return reduce(DataFrame.unionAll, out) if out else source.limit(0).selectExpr(
+        "doc_id", "0L as item_id", "0 as first_word", "0 as n_words", "0D as similarity"
+    )
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without a benchmark passage, all columns."""
-    at = docs.columns.index("text")
-    for group in groups(items):
+    at = place(docs, "text")
+    for nth, group in enumerate(groups(items)):
         shared = docs.sparkSession.sparkContext.broadcast(group)
+        docs = written(docs, "clean") if nth else docs
 
         def run(batches, shared=shared):
             index = Benchmark(shared.value)

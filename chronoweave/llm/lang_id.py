@@ -13,7 +13,8 @@ are corrected for each filter's false-positive rate and the largest decides.
 
 Defined cases: null text, or one without any letter: ``und``, score 0. A text with letters but no n-gram (one-letter
 words), or that no filter knows: the most frequent learned language, score 0. Ties: the more frequent language, then text
-order. Null lang: never learned from. No training rows: all ``und``. Repeated rows stay; other columns aren't read.
+order. Null lang: never learned from. No training rows: all ``und``. Very long texts are cut into pieces whose popcounts
+add up. Repeated rows stay; other columns aren't read, and ``known`` passes them through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import CHUNK_BYTES, buffers, fold, mix, runs, table
+from chronoweave.llm.common import CHUNK_BYTES, buffers, fold, mix, place, runs, table
 
 MIN_SHARE, MIN_RATIO = 1e-5, 0.2
 HASHES = 3
@@ -217,7 +218,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def known(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of at least ``reject_below``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = place(docs, "text")
 
     def run(batches):
         for batch in batches:

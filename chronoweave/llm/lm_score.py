@@ -6,7 +6,8 @@ the context of a text's first token. The weights of each bucket are learned by e
 counts: training rows with crc32(doc_id) mod 7 = ``DEV`` are deleted from the counts for that, and are counted again in
 the model that scores.
 
-How it runs. A scan task cuts its rows into chunks of about ``CHUNK`` bytes of text. For each chunk it sends every
+How it runs. A scan task cuts its rows into chunks of about ``CHUNK`` bytes of text, which are written once, so that all
+later passes see the same chunks whatever executors come and go. For each chunk a task sends every
 distinct unigram and bigram (64-bit hash) once, with its count in the chunk, to the shard that owns the hash's range; so
 a word that makes up a third of all tokens is one entry a chunk. A shard adds the counts up and answers every chunk in
 the order of its own sorted hashes, a byte a count. The answers are written to the shared folder. Then each chunk
@@ -18,7 +19,7 @@ of a doubling, so the driver gets a bounded table whatever the corpus.
 
 Defined cases: null text: empty, one token (its end). Null doc_id: fold of the empty text. Nothing to learn from: N = 0,
 base_score 0 per token (V = 0), score from the uniform part. Without rows to hold out, weights are equal. Repeated rows
-stay and count as often as they occur.
+stay and count as often as they occur. A text longer than a chunk is a chunk of its own. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ ORDERS = (1, 2)
 
 
 # -- chunks
-def chunks(batches, groups=(0, 1)):
+def chunks(batches):
     """(chunk, texts) of a scan task's rows (doc_id, text, fold), in their order: group 1 has the rows held out for the
-    weights, group 0 all others. The cut depends on the rows only, so every pass over a task's rows gives the same."""
-    task = TaskContext.get().partitionId()
+    weights, group 0 all others."""
+    task, groups = TaskContext.get().partitionId(), (0, 1)
     held = {g: [] for g in groups}
     size, count = dict.fromkeys(groups, 0), dict.fromkeys(groups, 0)
 
@@ -80,6 +81,20 @@ def packed(texts: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def unpacked(raw: pa.Array | pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in raw])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """chunk, raw: a written table of all rows of docs (doc_id, text, fold); odd chunks are those of the DEV rows."""
+
+    def run(batches):
+        for chunk, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed(texts)])], names=["chunk", "raw"])
+
+    return written(docs.mapInArrow(run, "chunk long, raw binary"), "chunks")
+
+
 def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts of a chunk, each text's first token (n + 1), and bigram hashes (context, token)."""
     data, offsets = buffers(texts)
@@ -115,12 +130,13 @@ def unsmall(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def answers(docs: DataFrame, shards: int) -> DataFrame:
-    """chunk, n_order, shard, n, counts (all training rows), main (without DEV rows; only for DEV chunks), and of each
+def answers(texts_of: DataFrame, shards: int) -> DataFrame:
+    """Of stored chunks: chunk, n_order, shard, n, counts (all training rows), main (without DEV rows; only for DEV chunks), and of each
     shard once: types, total, main_types, main_total."""
 
     def send(batches):
-        for chunk, texts in chunks(batches):
+        for chunk, raw in ((c, r) for b in batches for c, r in zip(b.column(0).to_pylist(), b.column(1))):
+            texts = unpacked([raw])
             own, first, pairs = tokens(texts.column(1))
             trains = np.repeat(texts.column(2).to_numpy() != HELD_OUT, np.diff(first))
             for order, keys in zip(ORDERS, (own, pairs)):
@@ -168,7 +184,7 @@ def answers(docs: DataFrame, shards: int) -> DataFrame:
             }
         )
 
-    sent = docs.mapInArrow(send, "chunk long, n_order int, shard int, hashes binary, counts binary")
+    sent = texts_of.mapInArrow(send, "chunk long, n_order int, shard int, hashes binary, counts binary")
     return sent.groupBy("n_order", "shard").applyInArrow(
         add,
         "chunk long, n_order int, shard int, n long, counts binary, main binary, types long, total long,"
@@ -235,37 +251,27 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     shards = shards or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // SHARD_BYTES)
     source = docs.select(F.col("doc_id").cast("long"), "text", fold(F.col("doc_id"), FOLDS).cast("int").alias("fold"))
-    found = written(answers(source, shards), "ngram-counts")
+    held = stored(source)
+    found = written(answers(held, shards), "ngram-counts")
     sums = found.where("n_order = 1").agg(*[F.sum(c).alias(c) for c in ("types", "total", "main_types", "main_total")])
     types, total, main_types, main_total = [int(x or 0) for x in sums.first()]
 
-    def pack(groups):
-        def run(batches):
-            for chunk, texts in chunks(batches, groups):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed(texts)])], names=["chunk", "raw"])
-
-        return source.mapInArrow(run, "chunk long, raw binary").groupBy("chunk")
-
-    def unpack(chunk: pa.Table) -> pa.Table:
-        return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in chunk.column("raw")])
-
     def held_out(chunk, answer):
-        texts = unpack(chunk)
+        texts = unpacked(chunk.column("raw"))
         single, context, pair, _ = token_counts(texts.column(1), answer, "main")
         code = (bucket(context) * 4096 + level(pair, context) + 1) * 4096 + level(single, main_total) + 1
         code, n = np.unique(code, return_counts=True)
         return pa.table({"cell": code.astype(np.int64), "n": n.astype(np.int64)})
 
     dev = found.where("main is not null")
-    cells = (
-        pack((1,)).cogroup(dev.groupBy("chunk")).applyInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n"))
-    )
+    odd = held.where("chunk % 2 = 1").groupBy("chunk")
+    cells = odd.cogroup(dev.groupBy("chunk")).applyInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n"))
     got = np.array(sorted(map(tuple, cells.collect())), np.int64).reshape(-1, 2)
     split = np.stack([got[:, 0] >> 24, ((got[:, 0] >> 12) & 4095) - 1, (got[:, 0] & 4095) - 1, got[:, 1]], 1)
     weights = learn_weights(split.astype(float), 1 / (main_types + 1))
 
     def final(chunk, answer):
-        texts = unpack(chunk)
+        texts = unpacked(chunk.column("raw"))
         single, context, pair, first = token_counts(texts.column(1), answer, "counts")
         w = weights[bucket(context)]
         p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (single / max(total, 1)) + w[:, 2] / (types + 1)
@@ -287,7 +293,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return pack((0, 1)).cogroup(found.groupBy("chunk")).applyInArrow(final, schema)
+    return held.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(final, schema)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ compressed with both dictionaries, and (bytes with the bad one - bytes with the
 into a probability by a logistic curve fitted to further labelled rows and weighted to the labels' shares over all
 labelled training rows.
 
-The sample: per label, ``DICT_ROWS`` + ``FIT_ROWS`` rows of at most ``SAMPLE_BYTES`` bytes, those with the smallest hash
-of their id. Nothing else is bounded: whole texts of all rows are scored.
+The sample: per label, ``DICT_ROWS`` + ``FIT_ROWS`` ids, those with the smallest hash, a text of at most
+``SAMPLE_BYTES`` bytes each and ``LABEL_BYTES`` together. Nothing else is bounded: whole texts of all rows are scored.
 
 Defined cases: null or empty text: difference zero, scored by the curve. A doc_id with several labels: the mean decides
-(half counts as good). Null labels: not learned from. One label only, or none: score 0.5. Repeated rows stay.
+(half counts as good). Null labels: not learned from. One label only, or none: score 0.5. Repeated rows stay in the result;
+of rows with the same doc_id one text is learned from, the one with the smallest hash. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import buffers, fold, table
 
 DICT_ROWS, FIT_ROWS, SAMPLE_BYTES = 1500, 2000, 200_000
+#: Bytes of sampled text of a label that go to the driver.
+LABEL_BYTES = 64_000_000
 DICT_BYTES, BLOCK, LEVEL = 112_640, 256, 3
 #: Bytes added to a text's length in the normalisation, so that a few bytes decide little.
 PRIOR_BYTES = 256
@@ -91,15 +94,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if len(share) < 2:
         return Model(b"", b"")
     rows = DICT_ROWS + FIT_ROWS
-    sized = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id")
+    sized = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    own = F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"))
+    # one text an id, so that an id that occurs very often is one row
+    one = sized.select("doc_id", own.alias("own")).groupBy("doc_id").agg(F.min("own").alias("own"))
+    known = one.join(marked, "doc_id").select("doc_id", "good", "own.h", "own.bytes")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = sized.join(marked, "doc_id")
-    picked = [known.where(F.col("good") == g).orderBy(*order).limit(rows) for g in (True, False)]
+    picked = []
+    for g in (True, False):
+        total = 0
+        for r in known.where(F.col("good") == g).orderBy(*order).limit(rows).collect():
+            total += r["bytes"]
+            if total <= LABEL_BYTES:
+                picked.append((r["doc_id"], r["h"], g))
     # at most 2 * rows ids
-    sample = docs.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").where(
-        F.octet_length("text").between(1, SAMPLE_BYTES)
-    )
-    got = sorted(sample.select("doc_id", "text", "good", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: r["h"])
+    wanted = docs.sparkSession.createDataFrame(picked, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, h long, good boolean")
+    sample = sized.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"])
+    sample = sample.groupBy("doc_id", "h", "good").agg(F.first("text").alias("text"))
+    got = sorted(sample.select("doc_id", "text", "good", F.xxhash64("doc_id").alias("o")).collect(), key=lambda r: (r["o"], r["doc_id"]))
     texts = {g: [r["text"].encode() for r in got if r["good"] == g] for g in (True, False)}
     # alternate rows, so that both uses have some of every size
     parts = {g: (t[::2][:DICT_ROWS], t[1::2]) for g, t in texts.items()}

@@ -3,18 +3,19 @@
 Writing: a record a page; of pages with equal payloads the one with the largest page_id is the response and the others
 are revisits without a payload. Which digests repeat is found on (page_id, digest) alone; that table is broadcast only if
 its counted rows stay below ``BROADCAST_ROWS``, and joined by a shuffle beyond. Spark's text writer puts the records, one
-after another, into plain .warc files in the shared folder.
+after another, into plain files (part-*.txt) in the shared folder.
 
 Reading: tasks cut the files' splits at every occurrence of the magic, wherever it stands, and emit for each candidate
 its length and the successor that its Content-Length gives. A file's candidates (some numbers each, never payloads) are
 put in order; pointer jumping from the file's start then keeps what is reachable, in a number of rounds logarithmic in
 the file's records. A magic inside a payload is on no chain from the start and goes. Payload digests are computed where
-the candidate is cut; only records whose payload holds a magic are put together again from their parts.
+the candidate is cut; only records whose payload holds a magic are put together again from their parts. A part is known
+by two hashes of its bytes, not by its place, so the second scan may split the files in another way.
 
 Defined cases: null html: empty payload. Null url: no WARC-Target-URI; control characters of urls are percent-encoded
 in the header. Rows with the same page_id and payload: each is as the page_id says, so several responses. Null page_id:
-written as ``null`` and read as null; a revisit if an equal payload has a page_id. Empty table: empty result. Other
-columns aren't read.
+written as ``null`` and read as null; a revisit if an equal payload has a page_id. Very long payloads: one record each; a
+record with a magic inside is put together in one task. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -98,6 +99,10 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
+def _hashes(value: str) -> list[Column]:
+    return [F.xxhash64(value).alias("one"), F.xxhash64(F.lit(1), value).alias("two")]
+
+
 def parsed(pieces: DataFrame, value: str = "value") -> DataFrame:
     """Header fields, size, and the payload's length and digest if the block is all there."""
     head = F.substring_index(value, END, 1)
@@ -117,6 +122,7 @@ def parsed(pieces: DataFrame, value: str = "value") -> DataFrame:
         _field(F.col("http"), "Content-Length").try_cast("long").alias("http_bytes"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload).alias("payload_sha1"),
+        *_hashes(value),
     )
 
 
@@ -139,14 +145,16 @@ def reachable(offsets: np.ndarray, successors: np.ndarray, start: int = 0) -> np
 
 
 _COLUMNS = "file string, page_id long, refers_to long, type string, digest string, http_bytes long"
-_SCHEMA = f"{_COLUMNS}, payload_bytes long, payload_sha1 string, parts array<long>"
+_SCHEMA = f"{_COLUMNS}, payload_bytes long, payload_sha1 string, nth long, parts array<struct<one: long, two: long>>"
+_PART = pa.struct([("one", pa.int64()), ("two", pa.int64())])
 
 
 def _chain(key, group):
     """The reachable records of one file; ``parts`` has the pieces of those whose payload holds a magic."""
     order = np.lexsort((group.column("seq").to_numpy(), group.column("block").to_numpy()))
     group = group.take(pa.array(order))
-    size, seq = group.column("bytes").to_numpy(), group.column("seq").to_numpy()
+    size = group.column("bytes").to_numpy()
+    one, two = group.column("one").to_pylist(), group.column("two").to_pylist()
     magic = len(MAGIC)
     if size.sum() + magic * (len(size) - 1) != group.column("file_size")[0].as_py():
         raise RuntimeError(f"{key[0].as_py()}: the pieces don't make up the file")
@@ -157,10 +165,14 @@ def _chain(key, group):
     successors = offsets + magic + needs
     keep = np.flatnonzero(reachable(offsets, successors))
     ends = np.searchsorted(offsets, successors[keep])
-    parts = [None if b == a + 1 else seq[a + 1 : b + 1].tolist() for a, b in zip(keep.tolist(), ends.tolist())]
+    parts = [
+        None if b == a + 1 else [{"one": one[k], "two": two[k]} for k in range(a + 1, b + 1)]
+        for a, b in zip(keep.tolist(), ends.tolist())
+    ]
     out = body.take(pa.array(keep))
-    names = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
-    return pa.table([*[out.column(c) for c in names[:-1]], pa.array(parts, pa.list_(pa.int64()))], names=names)
+    names = [c.split(" ")[0] for c in _COLUMNS.split(", ")] + ["payload_bytes", "payload_sha1"]
+    rest = [pa.array(keep.astype(np.int64)), pa.array(parts, pa.list_(_PART))]
+    return pa.table([*[out.column(c) for c in names], *rest], names=[*names, "nth", "parts"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -170,15 +182,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = found.where("parts is null")
     out = [whole]
     if found.where("parts is not null").limit(1).count():
-        # (file, seq) is unique among pieces; the parts of a record are as many as its payload has magics
-        spread = found.where("parts is not null").select(
-            "file", F.element_at("parts", 1).alias("first"), F.posexplode("parts").alias("place", "seq")
-        )
-        joined = spread.join(pieces.select("file", "seq", "value"), ["file", "seq"]).groupBy("file", "first")
-        parts = F.array_sort(F.collect_list(F.struct("place", "value")))
+        # the parts of a record are as many as its payload has magics; equal parts are one row of values
+        spread = found.where("parts is not null").select("file", "nth", F.posexplode("parts").alias("at", "part"))
+        spread = written(spread.select("file", "nth", "at", "part.one", "part.two"), "parts")
+        needed = written(spread.select("one", "two").distinct(), "needed")
+        values = pieces.select("value", *_hashes("value")).join(needed, ["one", "two"], "left_semi")
+        values = written(values.groupBy("one", "two").agg(F.first("value").alias("value")), "values")
+        joined = spread.join(values, ["one", "two"]).groupBy("file", "nth")
+        parts = F.array_sort(F.collect_list(F.struct("at", "value")))
         text = joined.agg(F.array_join(F.transform(parts, lambda p: p["value"]), MAGIC).alias("value"))
-        again = parsed(text.select("file", F.col("first").alias("seq"), "value"))
-        out.append(again.select(*[F.lit(None).cast("array<long>").alias("parts") if c == "parts" else c for c in found.columns]))
+        again = parsed(text).withColumn("parts", F.lit(None).cast(found.schema["parts"].dataType))
+        out.append(again.select(*found.columns))
     records = out[0] if len(out) == 1 else out[0].unionAll(out[1])
     response = F.col("type") == "response"
     return records.select(

@@ -61,7 +61,7 @@ def test_groups_of_items_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{data_dir('sf0.01')}/documents.parquet")
     items = spark.read.parquet(f"{data_dir('sf0.01')}/benchmark.parquet")
     whole = sorted(map(tuple, decontam.matches(docs, items).collect()))
-    monkeypatch.setattr(decontam, "ITEM_GROUP", 7)
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 3000)
     monkeypatch.setattr(decontam.groups, "__defaults__", (7,))
     assert sorted(map(tuple, decontam.matches(docs, items).collect())) == whole and whole
 
