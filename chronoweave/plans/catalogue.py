@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.plans import graph_queries, linkpred_queries, stats_queries, temporal_queries, text_queries
+from chronoweave.plans import graph_queries, linkpred_queries, source_queries, stats_queries, temporal_queries, text_queries
 from chronoweave.plans.registry import Query
 
-PARTS = (graph_queries, temporal_queries, linkpred_queries, text_queries, stats_queries)
+PARTS = (graph_queries, temporal_queries, linkpred_queries, text_queries, stats_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

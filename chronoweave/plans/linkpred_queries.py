@@ -116,60 +116,80 @@ def rank_ecdf(spark, sf_dir):
     return rounded(linkpred.rank_ecdf(linkpred.recurrence_ranks(*_setting(spark, sf_dir)), "direction"), "ecdf")
 
 
-# -- neighbourhoods, over the last eight test weeks
-LAST = 8
-_ADJ_SQL = f"""tw AS (SELECT DISTINCT time AS t FROM edges, span WHERE time >= span.t - {LAST}),
+# -- neighbourhoods, over the whole test split
+_ADJ_SQL = """tw AS (SELECT DISTINCT time AS t FROM q),
 adj AS (SELECT DISTINCT t, a, b FROM (SELECT tw.t, subj AS a, obj AS b FROM edges JOIN tw ON time BETWEEN tw.t - 12 AND tw.t - 1
 UNION ALL SELECT tw.t, obj, subj FROM edges JOIN tw ON time BETWEEN tw.t - 12 AND tw.t - 1)),
 deg AS (SELECT t, a, count(*) AS d FROM adj GROUP BY ALL),
-qs AS (SELECT DISTINCT t, q FROM (SELECT time AS t, subj AS q FROM edges, span WHERE time >= span.t - {LAST} UNION ALL SELECT time, obj FROM edges, span WHERE time >= span.t - {LAST})),
+qs AS (SELECT DISTINCT t, q FROM (SELECT time AS t, subj AS q FROM q UNION ALL SELECT time, obj FROM q)),
 sc AS (SELECT qs.t, qs.q, y.b AS cand, count(*) AS cn, sum(1 / ln(greatest(d, 2))) AS aa FROM qs JOIN adj x ON x.t = qs.t AND x.a = qs.q
-JOIN deg ON deg.t = x.t AND deg.a = x.b JOIN adj y ON y.t = x.t AND y.a = x.b GROUP BY ALL)"""
+JOIN deg ON deg.t = x.t AND deg.a = x.b JOIN adj y ON y.t = x.t AND y.a = x.b GROUP BY ALL),
+b AS (SELECT subj, rel, obj, time, 'object' AS direction, subj AS q, obj AS tr FROM q UNION ALL SELECT subj, rel, obj, time, 'subject', obj, subj FROM q)"""
 
 
 def _neighbours(spark, sf_dir):
-    rows = stored_edges(spark, sf_dir)
-    first = n_times(rows) - LAST
-    return rows, first, linkpred.neighbour_scores(rows, first)[1]
+    """Edges, first test week, entities, and the stored two-step scores of the test weeks' entities."""
+    rows, first, n = _setting(spark, sf_dir)
+    return rows, first, n, written(linkpred.neighbour_scores(rows, first)[1], "two-step")
 
 
-@R.add(f"WITH {GRAPH_SQL}, {_ADJ_SQL} SELECT t, q, cand, cn FROM sc")
+@R.add(f"WITH {BASE_SQL}, {_ADJ_SQL} SELECT t, q, cand, cn FROM sc")
 def common_neighbours(spark, sf_dir):
-    return _neighbours(spark, sf_dir)[2].select("t", "q", "cand", "cn")
+    return _neighbours(spark, sf_dir)[3].select("t", "q", "cand", "cn")
 
 
-@R.add(f"WITH {GRAPH_SQL}, {_ADJ_SQL} SELECT t, q, cand, round(aa, 6) AS aa FROM sc")
+@R.add(f"WITH {BASE_SQL}, {_ADJ_SQL} SELECT t, q, cand, round(aa, 6) AS aa FROM sc")
 def adamic_adar(spark, sf_dir):
-    return rounded(_neighbours(spark, sf_dir)[2].select("t", "q", "cand", "aa"), "aa")
+    return rounded(_neighbours(spark, sf_dir)[3].select("t", "q", "cand", "aa"), "aa")
 
 
-def _neighbour_rank_sql(value: str) -> str:
-    return f"""WITH {GRAPH_SQL}, {_ADJ_SQL}, pool AS (SELECT count(*) AS n FROM (SELECT subj FROM edges UNION SELECT obj FROM edges)),
-v AS (SELECT t, q, cand, round({value}, 9) AS v FROM sc),
-b AS (SELECT subj, rel, obj, time, 'object' AS direction, subj AS q, obj AS tr FROM edges, span WHERE time >= t - {LAST} UNION ALL
-SELECT subj, rel, obj, time, 'subject', obj, subj FROM edges, span WHERE time >= t - {LAST}),
-o AS (SELECT b.*, coalesce(v.v, 0) AS s FROM b LEFT JOIN v ON v.t = b.time AND v.q = b.q AND v.cand = b.tr),
-k AS (SELECT o.subj, o.rel, o.obj, o.time, o.direction, o.s, o.q, o.tr, count(*) FILTER (WHERE v.v > o.s) AS higher, count(*) FILTER (WHERE v.v = o.s) AS eq, count(v.v) AS scored
-FROM o LEFT JOIN v ON v.t = o.time AND v.q = o.q AND (v.cand <> o.q OR o.q = o.tr) GROUP BY ALL)
-SELECT subj, rel, obj, time, direction, CAST(CASE WHEN s > 0 THEN 1 + higher + (eq - 1) / 2 ELSE 1 + scored + (n - CASE WHEN q = tr THEN 0 ELSE 1 END - scored - 1) / 2 END AS DOUBLE) AS rank FROM k, pool"""
+def _neighbour_ctes(value: str) -> str:
+    v, o, k = f"v_{value}", f"o_{value}", f"k_{value}"
+    return f"""{v} AS (SELECT t, q, cand, round({value}, 9) AS v FROM sc),
+{o} AS (SELECT b.*, coalesce(v.v, 0) AS s FROM b LEFT JOIN {v} v ON v.t = b.time AND v.q = b.q AND v.cand = b.tr),
+{k} AS (SELECT o.subj, o.rel, o.obj, o.time, o.direction, o.s, o.q, o.tr, count(*) FILTER (WHERE v.v > o.s) AS higher, count(*) FILTER (WHERE v.v = o.s) AS eq, count(v.v) AS scored
+FROM {o} o LEFT JOIN {v} v ON v.t = o.time AND v.q = o.q AND (v.cand <> o.q OR o.q = o.tr) GROUP BY ALL),
+{value} AS (SELECT subj, rel, obj, time, direction, CAST(CASE WHEN s > 0 THEN 1 + higher + (eq - 1) / 2 ELSE 1 + scored + (n - CASE WHEN q = tr THEN 0 ELSE 1 END - scored - 1) / 2 END AS DOUBLE) AS rank FROM {k}, pool)"""
 
 
-@R.add(_neighbour_rank_sql("cn"))
+@R.add(f"WITH {BASE_SQL}, {_ADJ_SQL}, {_neighbour_ctes('cn')} SELECT * FROM cn")
 def common_neighbour_rank(spark, sf_dir):
-    rows, first, scores = _neighbours(spark, sf_dir)
-    return linkpred.neighbour_ranks(rows, scores, "cn", first, endpoints(rows).distinct().count())
+    rows, first, n, scores = _neighbours(spark, sf_dir)
+    return linkpred.neighbour_ranks(rows, scores, "cn", first, n)
 
 
-@R.add(_neighbour_rank_sql("aa"))
+@R.add(f"WITH {BASE_SQL}, {_ADJ_SQL}, {_neighbour_ctes('aa')} SELECT * FROM aa")
 def adamic_adar_rank(spark, sf_dir):
-    rows, first, scores = _neighbours(spark, sf_dir)
-    return linkpred.neighbour_ranks(rows, scores, "aa", first, endpoints(rows).distinct().count())
+    rows, first, n, scores = _neighbours(spark, sf_dir)
+    return linkpred.neighbour_ranks(rows, scores, "aa", first, n)
+
+
+def _hybrid_sql(value: str) -> str:
+    return f"""SELECT '{value}' AS method, seen, x.rank FROM {value} x JOIN seen USING (subj, rel, obj, time) UNION ALL
+SELECT 'recurrence->{value}', seen, CASE WHEN seen > 0 THEN rec.rank ELSE x.rank END FROM rec JOIN {value} x USING (subj, rel, obj, time, direction)"""
+
+
+@R.add(f"""WITH {BASE_SQL}, {REC_SQL}, {_ADJ_SQL}, {_neighbour_ctes('cn')}, {_neighbour_ctes('aa')}, ranks AS ({_hybrid_sql('cn')} UNION ALL {_hybrid_sql('aa')}),
+g AS (SELECT *, CASE WHEN seen > 0 THEN 'recurring' ELSE 'novel' END AS part FROM ranks)
+SELECT method, coalesce(part, 'all') AS subset, count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits1,
+round(avg((rank <= 3)::INT), 6) AS hits3, round(avg((rank <= 10)::INT), 6) AS hits10 FROM g GROUP BY GROUPING SETS ((method), (method, part))""")
+def neighbour_metrics(spark, sf_dir):
+    """Neighbour ranks by themselves, and behind recurrence, by subset."""
+    rows, first, n, scores = _neighbours(spark, sf_dir)
+    rec, parts = written(linkpred.recurrence_ranks(rows, first, n), "ranks"), []
+    seen = rec.select(*QUAD, "direction", "seen")
+    for value in ("cn", "aa"):
+        ranks = written(linkpred.neighbour_ranks(rows, scores, value, first, n), "ranks")
+        both = linkpred.backoff(rec, ranks).select(F.lit(f"recurrence->{value}").alias("method"), "seen", "rank")
+        parts += [ranks.join(seen, [*QUAD, "direction"]).select(F.lit(value).alias("method"), "seen", "rank"), both]
+    every = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return rounded(linkpred.metrics_by_subset(every), "mrr", "hits1", "hits3", "hits10")
 
 
 # -- vectors
 _VEC_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 c AS (SELECT q.vec_id AS q, c.vec_id AS cand, list_inner_product(q.e, c.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(c.e, c.e)) AS cosine
-FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)"""
+FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)"""
 
 
 @R.add(f"""WITH {_VEC_SQL}, r AS (SELECT q, cand, round(cosine, 6) AS cosine FROM c)
@@ -178,16 +198,16 @@ def cosine_topk(spark, sf_dir):
     from chronoweave.operators.embedding import cosine_top
 
     rows = table(spark, sf_dir, "embeddings")
-    return cosine_top(rows.where("vec_id % 50 = 0"), rows, 10)
+    return cosine_top(rows.where("vec_id % 20 = 0"), rows, 10)
 
 
 @R.add("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS q, c.vec_id AS cand, round(list_inner_product(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0),
-t AS (SELECT q, score AS st FROM s WHERE cand = (q + 1) % 500)
+s AS (SELECT q.vec_id AS q, c.vec_id AS cand, round(list_inner_product(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0),
+t AS (SELECT q, score AS st FROM s WHERE cand = (q + 1) % (SELECT count(*) FROM embeddings))
 SELECT s.q, CAST(1 + count(*) FILTER (WHERE score > st) + (count(*) FILTER (WHERE score = st) - 1) / 2 AS DOUBLE) AS rank FROM s JOIN t ON t.q = s.q GROUP BY s.q""")
 def distmult_rank(spark, sf_dir):
     from chronoweave.operators.embedding import bilinear_ranks
 
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select("vec_id", "embedding", F.pmod(F.col("vec_id") + 1, F.lit(500)).alias("true_id"))
+    queries = rows.where("vec_id % 20 = 0").select("vec_id", "embedding", F.pmod(F.col("vec_id") + 1, F.lit(rows.count())).alias("true_id"))
     return bilinear_ranks(queries, rows, places=6)

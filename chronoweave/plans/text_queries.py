@@ -238,9 +238,9 @@ def find_entities(spark, sf_dir):
     return provenance.find_entities(spark.createDataFrame([("C12",), ("s9",), ("S1",), ("zz",)], "name string"), totals)
 
 
-@R.add(r"""SELECT conv_id, turn, replace('Read: <text>!', '<text>', substr(coalesce(text, ''), 1, 100)) AS prompt FROM conversations""")
+@R.add(r"""SELECT conv_id, turn, replace('Read: <text>!', '<text>', substr(coalesce(text, ''), 1, 6000)) AS prompt FROM conversations""")
 def build_prompts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.prompt("Read: <text>!", F.col("text"), 100).alias("prompt"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.prompt("Read: <text>!", F.col("text")).alias("prompt"))
 
 
 

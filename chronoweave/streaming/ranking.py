@@ -15,7 +15,7 @@ class RankSweep:
     def __init__(self, spark: SparkSession, n_entities: int, schema):
         self.spark, self.n, self.schema = spark, n_entities, schema
         self.history, self.ranks = scratch(spark, "history"), scratch(spark, "ranks")
-        spark.createDataFrame([], schema).write.parquet(self.history)
+        spark.createDataFrame([], schema).write.parquet(f"{self.history}/batch=-1")
 
     def put(self, batch: DataFrame, batch_id: int) -> None:
         first = batch.agg(F.min("time")).first()[0]
@@ -24,7 +24,8 @@ class RankSweep:
         known = self.spark.read.schema(self.schema).parquet(self.history)
         both = known.where(F.col("time") < first).select(*batch.columns).unionAll(batch)
         recurrence_ranks(both, first, self.n).write.mode("overwrite").parquet(f"{self.ranks}/batch={batch_id}")
-        batch.write.mode("append").parquet(self.history)
+        # a batch that is tried again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{self.history}/batch={batch_id}")
 
     def run(self, stream: DataFrame) -> DataFrame:
         """Ranks of every edge of the stream."""
