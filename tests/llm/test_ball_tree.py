@@ -55,3 +55,47 @@ def test_bounds_prune_and_lose_nothing():
     full[np.arange(24), ids[::100]] = -np.inf
     want = np.lexsort((np.broadcast_to(ids, full.shape), -full), axis=1)[:, :5]
     assert (got == want).all() and (scores == np.take_along_axis(full, want, 1)).all()
+
+
+def exact(rows, k=20):
+    """Whole-number scores of any size by plain Python."""
+    def whole(x):
+        return int(x) * 64 if abs(x) >= 2.0**47 else math.floor(64 * x)
+
+    ints = [(i, [whole(x) for x in v]) for i, v in rows]
+    out = []
+    for q, a in ints:
+        if q % 20 == 0:
+            best = sorted((-sum(map(int.__mul__, a, b)), i) for i, b in ints if i != q)[:k]
+            out += [(q, r + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1e7, 1e30, 1e300, 1.7e308])
+def test_components_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=6) * (size / 4 if k % 3 == 0 else 1)).clip(-size, size).tolist()) for k in range(150)]
+    rows += [(200 + k, [size, -size, 0.0, 1.0, size, 0.25]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in ball_tree.top_k(df).collect()) == exact(rows)
+
+
+def test_queries_skip_far_shards(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, (centres[k % 40] + 0.01 * rng.normal(size=16)).tolist()) for k in range(4000)]
+    seen, reached = [], ball_tree._reached
+    monkeypatch.setattr(ball_tree, "_reached", lambda *a: seen.append(reached(*a)) or seen[-1])
+    got = ball_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == exact(rows)
+    # 200 queries and some 40 shards
+    assert seen[0].count() < 200 * 10
+
+
+def test_equal_vectors_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "SHARD_ROWS", 20)
+    rows = [(k, [0.5, -0.25]) for k in range(200)] + [(300 + k, [k / 64, 1.0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in ball_tree.top_k(df).collect()) == exact(rows)
