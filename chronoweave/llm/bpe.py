@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import table
+from chronoweave.llm.common import kept, lean, table
 
 #: Encoded pieces that a worker keeps; older ones go all at once.
 CACHE_PIECES = 600_000
@@ -201,14 +201,9 @@ class Codec:
         return b"".join([own[i] if i in own else self.added_of[i] for i in ids]).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One codec a worker process and file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """One codec a worker process and file, until another operator runs there."""
+    return kept("codec", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -229,7 +224,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, ids array<int>, decoded string"
+        lean(run, "codec"), "doc_id long, ids array<int>, decoded string"
     )
 
 
@@ -255,7 +250,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "codec"), schema)
 
 
 def default_tokenizer() -> str:

@@ -6,6 +6,7 @@ works on UTF-8 bytes of whole texts; a null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -29,6 +30,47 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+#: What the operator that runs in this worker keeps between tasks, by name.
+_held: dict[str, object] = {}
+
+
+def lean(run, keeps: str | None = None):
+    """``run``, a function of Arrow batches, for workers that live on from operator to operator.
+
+    What another operator kept is dropped at the start, and what the task freed goes back to the system at its end, so
+    that an executor pays for one operator at a time.
+    """
+
+    def task(batches):
+        # functions of the module: a closure would be sent with a copy of the module's dictionaries
+        _begun(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _ended()
+
+    return task
+
+
+def _begun(keeps: str | None) -> None:
+    for name in [name for name in _held if name != keeps]:
+        del _held[name]
+
+
+def _ended() -> None:
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def kept(name: str, key: object, make):
+    """What ``make`` gives, made once a worker for as long as tasks that keep ``name`` follow each other."""
+    held = _held.setdefault(name, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import buffers, grams, place, runs, table, words, written
+from chronoweave.llm.common import buffers, grams, lean, place, runs, table, words, written
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCKS, BLOCK_RADIUS = 4, 4
@@ -210,7 +210,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 )
 
         # the finds of a group are written before the next one is indexed
-        out = [*out[:-1], *[written(x, "finds") for x in out[-1:]], source.mapInArrow(run, schema)]
+        out = [*out[:-1], *[written(x, "finds") for x in out[-1:]], source.mapInArrow(lean(run), schema)]
     return reduce(DataFrame.unionAll, out) if out else source.limit(0).selectExpr(
         "doc_id", "0L as item_id", "0 as first_word", "0 as n_words", "0D as similarity"
     )
@@ -230,7 +230,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 keep[[f[0] for f in index.hits(*buffers(batch.column(at)))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
     return docs
 
 

@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import CHUNK_BYTES, buffers, fold, mix, place, runs, table
+from chronoweave.llm.common import buffers, fold, lean, mix, place, runs, table
 
 MIN_SHARE, MIN_RATIO = 1e-5, 0.2
 HASHES = 3
 #: Rows of the bit-sliced table for each n-gram of the largest language, rounded up to a power of two.
 ROWS_PER_GRAM = 8
+#: Bytes of text looked at together: a byte costs about 80 of arrays while it is.
+RUN_BYTES = 1 << 18
 #: The pipeline rejects a text whose best language knows a smaller part of its n-grams.
 REJECT_BELOW = 0.2
 
@@ -60,7 +62,7 @@ def pieces(batch: pa.RecordBatch, text: int):
     """(first row, texts) of consecutive runs of rows."""
     column = pc.fill_null(batch.column(text), "")
     _, offsets = buffers(column)
-    for a, b in runs(offsets, CHUNK_BYTES):
+    for a, b in runs(offsets, RUN_BYTES):
         yield a, column.slice(a, b - a)
 
 
@@ -107,7 +109,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     names=["lang", "gram", "n"],
                 )
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counted = docs.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -212,7 +214,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return source.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def known(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -225,7 +227,7 @@ def known(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) ->
             best, score = _decided(shared.value, batch, at)
             yield batch.filter(pa.array((best >= 0) & (score >= reject_below)))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(run), T.StructType(docs.schema.fields))
 
 
 def _decided(model: Model, batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:

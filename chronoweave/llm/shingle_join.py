@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import buffers, dropped, grams, mix, numbered, place, runs, words, written
+from chronoweave.llm.common import buffers, dropped, grams, lean, mix, numbered, place, runs, words, written
 from chronoweave.llm.simhash import components
 
 #: Words of a shingle. The least similarity is 4/5, in whole numbers below.
@@ -106,7 +106,7 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     got = found.orderBy(F.desc("n"), "g").limit(HOT_ROWS).toArrow()
     g, n = got.column("g").to_numpy().view(np.uint64), got.column("n").to_numpy()
     rank = np.empty(len(g), np.int64)
@@ -157,7 +157,7 @@ def signatures(rows: DataFrame, order) -> DataFrame:
                 )
 
     schema = f"{_ROW} long, doc_id long, first long, n long, one long, two long, bins binary, prefix array<long>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def frequent(rows: DataFrame, bucket_rows: int) -> DataFrame:
@@ -184,7 +184,7 @@ def frequent(rows: DataFrame, bucket_rows: int) -> DataFrame:
         if held:
             yield counted()
 
-    found = rows.select("prefix").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = rows.select("prefix").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") > bucket_rows).select("token", F.ceil(F.col("n") / bucket_rows).cast("int").alias("slices"))
 
 
@@ -211,7 +211,7 @@ def _grouped(rows: DataFrame, emit, schema: str) -> DataFrame:
         if carry is not None:
             yield from emit(carry, np.array([0, len(carry)]))
 
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, schema)
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(lean(run), schema)
 
 
 def _ordered(t: pa.Table, bounds: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -315,7 +315,7 @@ def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     src = rows.select(F.col(_ROW).alias("src"), "n", F.col("bins").alias("a"))
     dst = rows.select(F.col(_ROW).alias("dst"), F.col("n").alias("m"), F.col("bins").alias("b"))
-    return pairs.join(src, "src").join(dst, "dst").mapInArrow(run, "src long, dst long")
+    return pairs.join(src, "src").join(dst, "dst").mapInArrow(lean(run), "src long, dst long")
 
 
 def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
                 token, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], *none)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), signed(token, at)], names=[_ROW, "all"])
 
-    own = base.join(either, _ROW, "left_semi").mapInArrow(held, f"{_ROW} long, all array<long>")
+    own = base.join(either, _ROW, "left_semi").mapInArrow(lean(held), f"{_ROW} long, all array<long>")
     own = written(own, "tokens")
     src = own.select(F.col(_ROW).alias("src"), F.col("all").alias("a"))
     dst = own.select(F.col(_ROW).alias("dst"), F.col("all").alias("b"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.llm.common import LOWER, buffers, numbered, place, table, written
+from chronoweave.llm.common import LOWER, buffers, lean, numbered, place, table, written
 
 #: Contract of the query: words of a shingle, most differing bits.
 SHINGLE, RADIUS = 4, 4
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 names=[*batch.schema.names[:-1], "fp"],
             )
 
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(lean(run), T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def key_masks(rows: int, radius: int) -> list[int]:
@@ -231,7 +231,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["src", "dst"])
 
     dealt = pairs.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+    return dealt.mapInArrow(lean(run), "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
