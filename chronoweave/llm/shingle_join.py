@@ -1,4 +1,4 @@
-"""Near-duplicates by exact similarity of word shingles: the pipeline's rule, five words and 0.8.
+"""Near-duplicates by SimHash and exact similarity of word shingles: the pipeline's rule, five words and 0.8.
 
 Similarity is the weighted Jaccard of ``SHINGLE``-word shingles, each weighted by how often it occurs (sum of minima by
 sum of maxima). The kth occurrence of a shingle counts as a token of its own, so it is the plain Jaccard of token sets.
@@ -9,9 +9,12 @@ sum of maxima). The kth occurrence of a shingle counts as a token of its own, so
    one and the first m - ceil(0.8 m) + 1 of the other share a token (prefix filter). All prefix tokens are shuffled once;
    those of one text only, most of them, go no further. Texts that share one are candidates unless their sizes, or what
    is left behind the shared token, rule the similarity out. This loses nothing.
-3. Candidates whose counts of tokens by bin allow the similarity are verified by their tokens. The first round
-   takes neighbours by size only; the second takes all candidates that verified links don't connect yet, so a cluster of
-   near copies doesn't cost all its pairs.
+3. SimHash fingerprints of the same five words go through the Gray-order index of op6. What it links, within ``radius``
+   bits, are the first candidates. It can't find all texts at 0.8 or more, which differ in ten bits or so, and some that
+   it links are less alike; so its pairs are verified like all others, and the prefix filter finds the rest.
+4. Candidates whose counts of tokens by bin allow the similarity are verified by their tokens. The first round takes the
+   index's pairs and, of the prefix filter's, neighbours by size only; the second takes all candidates that verified
+   links don't connect yet, so a cluster of near copies doesn't cost all its pairs.
 
 Rare shingles come first in the order: those that many texts of a task hold are counted, and up to ``HOT_ROWS`` of them
 go to the end. The order decides the cost, never the result. Tokens of more than ``bucket_rows`` texts are cut into
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm import simhash
 from chronoweave.llm.common import buffers, dropped, grams, lean, mix, numbered, place, runs, words, written
 from chronoweave.llm.simhash import components
 
@@ -284,6 +288,22 @@ def candidates(groups: DataFrame) -> DataFrame:
     return _grouped(groups, emit, "src long, dst long").distinct()
 
 
+def indexed(rows: DataFrame, lone: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """src < dst: pairs of those rows (row, doc_id, text) that lone (row) names, which connect exactly what op6's index
+    links: the first row of each fingerprint with its others, and the first rows of fingerprints within ``radius`` bits."""
+    prints = simhash.fingerprints(rows, SHINGLE).select(_ROW, "fp")
+    prints = written(prints.join(lone.select(_ROW), _ROW, "left_semi"), "fingerprints")
+    # a table of its own, so that the join below has a shuffle to itself and a large fingerprint can be split
+    heads = written(prints.groupBy("fp").agg(F.min(_ROW).alias("head")), "heads")
+    same = prints.join(heads, "fp").where(f"{_ROW} <> head").select(F.col("head").alias("src"), F.col(_ROW).alias("dst"))
+    ends = [heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_row")) for end in ("src", "dst")]
+    met = simhash.links(heads.select("fp"), radius).join(ends[0], "src").join(ends[1], "dst")
+    near = met.select(F.least("src_row", "dst_row").alias("src"), F.greatest("src_row", "dst_row").alias("dst"))
+    out = written(same.unionAll(near).distinct(), "indexed")
+    dropped(prints, heads)
+    return out
+
+
 def bin_count(n: np.ndarray) -> np.ndarray:
     return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / BIN_TOKENS)).astype(np.int64).clip(0, 62), LEAST_BINS, MOST_BINS)
 
@@ -342,7 +362,7 @@ def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return out
 
 
-def survivors(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def survivors(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, radius: int = simhash.RADIUS) -> DataFrame:
     """All columns of one row of each component of docs: the smallest doc_id (null first), then the first row."""
     base = numbered(docs)
     columns = base.columns[:-1]
@@ -360,7 +380,9 @@ def survivors(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     groups = written(repeated(lone, bucket_rows), "groups")
     bins = lone.select(_ROW, "n", "bins")
     near = groups.where("root is not null").select(F.least(_ROW, "root").alias("src"), F.greatest(_ROW, "root").alias("dst"))
-    edges = verified(written(possible(near.distinct(), bins), "candidates"), rows.select(_ROW, "text"))
+    alike = indexed(rows, lone, radius)
+    near = written(possible(near.unionAll(alike).distinct(), bins), "candidates")
+    edges = verified(near, rows.select(_ROW, "text"))
     found = written(components(edges).withColumnRenamed("node", _ROW), "roots")
     joined = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     rooted = groups.drop("root").join(joined, _ROW, "left").withColumn("root", F.coalesce("root", _ROW))

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from chronoweave.llm import shingle_join
+from chronoweave.llm import shingle_join, simhash
 from tests.conftest import data_dir
 from tests.llm.test_decontam import shingles
+from tests.llm.test_simhash import slow_components
 
 
 def brute_force(rows):
@@ -71,3 +72,23 @@ def test_the_stage_drops_copies_at_the_rule(spark):
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, columns), data_dir())
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_the_gray_index_links_what_is_within_its_radius(spark):
+    rows = [(k, k, t) for k, (_, t) in enumerate(edited())]
+    table = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    pairs = [tuple(r) for r in shingle_join.indexed(table, table.where("row <> 5")).collect()]
+    root = {k: k for k, _, _ in rows if k != 5}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    prints = [(k, simhash.fingerprint((t or "").encode(), 5)) for k, _, t in rows if k != 5]
+    assert [root[k] for k, _ in prints] == slow_components(prints) and len(pairs) > 20 and all(a < b for a, b in pairs)
+
+
+def test_the_stage_goes_through_the_gray_index(spark, monkeypatch):
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, radius, *rest: asked.append(radius) or links(fps, radius, *rest))
+    docs = spark.createDataFrame(edited(), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, data_dir()).collect()
+    assert asked == [simhash.RADIUS] and sorted(map(tuple, kept), key=repr) == brute_force(edited())
