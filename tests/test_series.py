@@ -196,3 +196,28 @@ def test_batch_and_stream_counts_agree(spark):
     rows = windows.run_available(windows.tumbling_counts(windows.stream_table(spark, data_dir(), "events"), "ts", "event_type"))
     assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data_dir()}/events.parquet").count()
     assert pd.Timestamp(rows.agg(F.min("bucket")).first()[0]).weekday() == 0
+
+
+def test_stretches_are_few_and_cover_what_a_row_a_week_would(spark):
+    """A lone formation is two stretches of trailing sums, not thirty rows, and sums equal a count by hand."""
+    import random
+
+    lone = temporal.trailing(spark.createDataFrame([("a", 10, 3)], "ent string, time int, n long"), 100).collect()
+    assert sorted((r.start, r.stop, r.obs, r.base) for r in lone) == [(10, 13, 3, 0), (14, 39, 0, 3)]
+    rng = random.Random(1)
+    rows = sorted({(rng.choice("ab"), rng.randrange(50)): rng.randint(1, 4) for _ in range(25)}.items())
+    frame = spark.createDataFrame([(*k, n) for k, n in rows], "ent string, time int, n long")
+    total = lambda e, lo, hi: sum(n for (x, w), n in rows if x == e and lo <= w <= hi)
+    got = {(r.ent, r.time): r.velocity for r in temporal.entity_velocity(frame, 50).collect()}
+    assert got == {(e, t): total(e, t - 4, t + 3) for e in "ab" for t in range(50) if total(e, t - 4, t + 3)}
+    blocked = temporal.surprise(frame, 50)
+    strict = themes.candidates(blocked, frame, None, True, -99.0, 0)
+    want = {(r.ent, r.time) for r in blocked.collect()}
+    assert {(r.ent, r.time) for r in strict.collect()} == want
+
+
+def test_cooccurrence_meets_only_weeks_of_candidates(spark):
+    cands = spark.createDataFrame([("a", 5), ("b", 5), ("b", 6), ("a", 9), ("b", 9)], "ent string, time int")
+    edges = spark.createDataFrame([("a", "r", "b", 2, 4), ("b", "s", "a", 5, 1), ("a", "r", "a", 5, 7), ("a", "r", "c", 5, 9)], "subj string, rel string, obj string, time int, weight long")
+    got = {(r.time, r.a, r.b): r.weight for r in themes.cooccurrence(cands, edges).collect()}
+    assert got == {(5, "a", "b"): 5, (9, "a", "b"): 5}
