@@ -221,3 +221,29 @@ def test_cooccurrence_meets_only_weeks_of_candidates(spark):
     edges = spark.createDataFrame([("a", "r", "b", 2, 4), ("b", "s", "a", 5, 1), ("a", "r", "a", 5, 7), ("a", "r", "c", 5, 9)], "subj string, rel string, obj string, time int, weight long")
     got = {(r.time, r.a, r.b): r.weight for r in themes.cooccurrence(cands, edges).collect()}
     assert got == {(5, "a", "b"): 5, (9, "a", "b"): 5}
+
+
+def test_louvain_solves_components_by_themselves():
+    """Two far parts give what each gives under the same whole weight; small ones are left as single nodes."""
+    ring = [(i, (i + 1) % 6, 1.0) for i in range(6)]
+    both = ring + [(a + 6, b + 6, w) for a, b, w in ring] + [(12, 13, 5.0)]
+    found = themes.louvain(14, both, size_least=3).tolist()
+    same = themes._component(6, ring, 1.0, 2.0 * (12 + 5)).tolist()
+    assert found[:6] == same and [x - found[6] for x in found[6:12]] == same and found[12] != found[13]
+
+
+def test_lifelines_count_shared_entities_once_each(monkeypatch):
+    """Overlap comes from one pass over a cluster's entities; no set of a lifeline's members is built."""
+    lines = themes.Lifelines()
+    lines.week(1, [(1, 3.0, [(e, 1.0, 0) for e in "abcd"]), (2, 2.0, [(e, 1.0, 0) for e in "wxyz"])])
+
+    class Whole(set):
+        def __rand__(self, other):
+            raise AssertionError("members are gone through")
+
+        __ror__ = __rand__
+
+    for line in lines.known.values():
+        line["members"] = Whole(line["members"])
+    out = lines.week(2, [(1, 2.0, [(e, 1.0, 1) for e in "cdwxyz"])])
+    assert [o["theme"] for o in out] == [1]
