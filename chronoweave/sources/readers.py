@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.sources.sinks import NEVER
+
 RAW_NEWS = ["Date", "Article_title", "Stock_symbol", "Publisher", "Article", "Url", "Author"]
 ARTICLE_DEFAULTS = ("ticker", "publisher")
 ARTICLE_REQUIRED = ("id", "date", "body")
@@ -19,7 +21,8 @@ def csv(spark: SparkSession, path, schema: str | None = None, sep: str = ",", he
     """CSV with quoted, multi-line fields; bad bytes are replaced, ragged rows filled up or cut; an unquoted empty field
     is the only null. Paths may be a list."""
     reader = spark.read.option("header", header).option("sep", sep).option("multiLine", multi_line)
-    reader = reader.option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", "\0")
+    reader = reader.option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", NEVER * 2)
+    reader = reader.option("charToEscapeQuoteEscaping", NEVER)
     reader = reader.option("emptyValue", "").option("maxCharsPerColumn", -1).option("encoding", "UTF-8")
     return (reader.schema(schema) if schema else reader).csv(path)
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from chronoweave.operators.runtime import written
 from chronoweave.operators.sampling import remaining
 
+#: A noncharacter, for options whose defaults would take a NUL of a text for something else.
+NEVER = "\uffff"
+
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Adds part files with a header each; the readers take a folder as one table."""
-    df.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """Adds part files with a header each; the readers take a folder as one table. White space around a text is its own."""
+    writer = df.write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "")
+    writer = writer.option("charToEscapeQuoteEscaping", NEVER)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -96,3 +96,14 @@ def test_window_edges_are_closed(spark):
     assert {(r.article, r.name) for r in hits.collect()} == {(1, "a"), (1, "b"), (2, "a"), (2, "b")}
     row = provenance.cohesion(hits, themes, members).first()
     assert (row.n_binding, row.pair_coverage, row.mean_members) == (2, 1.0, 2.0)
+
+
+def test_news_csv_keeps_every_text(spark, tmp_path):
+    """White space at either end, line ends, quotes and NULs come back as they were; a blank text is a text."""
+    from chronoweave.plans import source_queries
+
+    texts = [" a", "a ", "\ta\t", "\na\n", "a\r\nb\r", " ", "\n", 'q"q', '"', "a,\n\"b\",\r\n", "\0", '\0"', 'x\0"y,z', "\\", "#c"]
+    rows = [(k, t, None if k % 2 else t, "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r.row): (r.title, r.body) for r in source_queries.news_csv(spark, str(tmp_path)).collect()}
+    assert got == {k: (l or "", t) for k, t, l, _ in rows}
