@@ -247,3 +247,26 @@ def test_lifelines_count_shared_entities_once_each(monkeypatch):
         line["members"] = Whole(line["members"])
     out = lines.week(2, [(1, 2.0, [(e, 1.0, 1) for e in "cdwxyz"])])
     assert [o["theme"] for o in out] == [1]
+
+
+def test_vector_searches_hold_tiles_of_scores(spark, monkeypatch):
+    """Small tiles, several blocks of queries and equal vectors give what a whole matrix gives."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(90, 5)), 2)
+    x[40:50] = x[:10]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").cache()
+    monkeypatch.setattr(embedding, "QUERY_BYTES", 400)
+    tiles = embedding._tiles(30, 1_000_000)
+    assert len(tiles) >= 15 and max(t.stop - t.start for t in tiles) * 1_000_000 <= embedding.TILE
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    got = sorted(map(tuple, embedding.cosine_top(rows.where("vec_id % 3 = 0"), rows, 4).collect()))
+    want = []
+    for q in range(0, 90, 3):
+        s = np.round(unit[q] @ unit.T, 6)
+        want += sorted((q, int(c), float(s[c])) for c in sorted((c for c in range(90) if c != q), key=lambda c: (-s[c], c))[:4])
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+    ranks = {r.q: r["rank"] for r in embedding.bilinear_ranks(rows.where("vec_id % 3 = 0").selectExpr("vec_id", "embedding", "(vec_id + 1) % 90 AS true_id"), rows, places=6).collect()}
+    for q in range(0, 90, 3):
+        s = np.round(x[q] @ x.T, 6)
+        mine = s[(q + 1) % 90]
+        assert ranks[q] == 1 + (s > mine).sum() + ((s == mine).sum() - 1) / 2
