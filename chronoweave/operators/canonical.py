@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from chronoweave.functions.text import key_norm
 from chronoweave.operators.graph import QUAD, connected_components, endpoints
+from chronoweave.operators.runtime import indexed, written
 
 CORPORATE = tuple("COMP ORG ORG/GOV ORG/REG".split())
 DOMINANCE, LEAST_MENTIONS = 0.60, 10
@@ -121,9 +126,28 @@ def merge_groups(table: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 # -- similarity groups
+#: Sets of a block; two blocks are one task. Members and sets that a worker spells out at once.
+BLOCK, TILE, MEMBERS = 4096, 1024, 4096
+#: Pairs of sets by shared members, for each pair of any sets, from which blocks cost less than a join.
+DENSE = 0.02
+
+
 def jaccard_pairs(sets: DataFrame, least: float = 0.3) -> DataFrame:
-    """a, b, jaccard of sets (id, member) that overlap that much: pairs only come from shared members."""
-    rows = sets.select("id", "member").distinct()
+    """a, b, jaccard of sets (id, member) that overlap that much: pairs only come from shared members.
+
+    A join meets each shared member of each pair. Where sets share so much that this is of the order of all pairs, blocks
+    of sets are multiplied instead: exact as well, and only pairs that are returned leave a task.
+    """
+    rows = sets.select("id", "member").where("id is not null").distinct()
+    held = written(rows, "sets")
+    n = held.select("id").distinct().count()
+    sharing = held.where("member is not null").groupBy("member").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+    if n > TILE and sharing > DENSE * n * (n - 1):
+        return _block_pairs(held, n, least)
+    return _joined_pairs(held, least)
+
+
+def _joined_pairs(rows: DataFrame, least: float) -> DataFrame:
     sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     left, right = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
     both = left.join(right, "member").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
@@ -134,6 +158,62 @@ def jaccard_pairs(sets: DataFrame, least: float = 0.3) -> DataFrame:
     return out.select("a", "b", share.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def _block_pairs(rows: DataFrame, n: int, least: float) -> DataFrame:
+    """Every two blocks of sets meet in one task, as products of membership matrices a tile at a time."""
+    kind, blocks = rows.schema["id"].dataType, -(-n // BLOCK)
+    codes = indexed(rows.where("member is not null").select("member").distinct(), ["member"], "code")
+    # a null member counts and is shared with none
+    sets = rows.join(codes, "member", "left").groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.col("code").cast("int")).alias("codes"))
+    sets = written(sets.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "sets")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    sent = sets.select("id", "size", "codes", "block", F.explode(every).alias("other")).select(
+        "id", "size", "codes", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block"
+    )
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("jaccard", DoubleType())])
+    found = sent.repartition(blocks * (blocks + 1) // 2, "p", "q").groupBy("p", "q").applyInArrow(_block_run(least, TILE, MEMBERS), schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+
+
+def _block_run(least: float, tile: int, members: int):
+    def matrix(lists, lo, hi):
+        """Rows of the sets by members lo to hi."""
+        each, flat = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+        at = np.repeat(np.arange(len(lists)), each)
+        inside = (flat >= lo) & (flat < hi)
+        out = np.zeros((len(lists), hi - lo), np.float32)
+        out[at[inside], flat[inside] - lo] = 1
+        return out
+
+    def run(key, table):
+        p, q = (k.as_py() for k in key)
+        side = lambda k: table.filter(pc.equal(table["block"], k)).combine_chunks()
+        left, right = side(p), side(q)
+        size = lambda t: t["size"].to_numpy()
+        for i in range(0, left.num_rows, tile):
+            x = left.slice(i, tile)
+            for j in range(i if p == q else 0, right.num_rows, tile):
+                y = right.slice(j, tile)
+                xs, ys = (t["codes"].combine_chunks() for t in (x, y))
+                top = int(min(c.flatten().to_numpy().max(initial=-1) for c in (xs, ys))) + 1
+                both = np.zeros((x.num_rows, y.num_rows))
+                for lo in range(0, top, members):
+                    both += matrix(xs, lo, min(lo + members, top)) @ matrix(ys, lo, min(lo + members, top)).T
+                share = both / (size(x)[:, None] + size(y)[None] - both)
+                hit = (both > 0) & (share >= least)
+                if p == q and i == j:
+                    hit &= np.arange(x.num_rows)[:, None] < np.arange(y.num_rows)[None]
+                a, b = np.nonzero(hit)
+                ends = [t["id"].combine_chunks().take(pa.array(k)) for t, k in ((x, a), (y, b))]
+                batch = pa.RecordBatch.from_arrays([*ends, pa.array(share[a, b])], names=["a", "b", "jaccard"])
+                yield batch
+
+    # what two blocks find is at most the pairs of both
+    def whole(key, table):
+        return pa.Table.from_batches(run(key, table), pa.schema([("a", table["id"].type), ("b", table["id"].type), ("jaccard", pa.float64())]))
+
+    return whole
+
+
 def whole_groups_to_test(rows: DataFrame) -> DataFrame:
     """Rows (group, is_test, ...): a group with any test row is test as a whole."""
     return rows.withColumn("is_test", F.max("is_test").over(Window.partitionBy("group")))

@@ -214,12 +214,7 @@ def bocd_bursts(spark, sf_dir):
 def burst_catalogue(spark, sf_dir):
     """Entities with 30 formations or more, on densified series of the calendar's weeks."""
     rows = stored_edges(spark, sf_dir)
-    series = temporal.entity_weeks(rows)
-    busy = series.groupBy("ent").agg(F.sum("n").alias("total")).where(F.col("total") >= bursts.LEAST_TOTAL).select("ent")
-    weeks = F.sequence(F.lit(0), F.lit(n_times(rows) - 1))
-    grid = busy.select("ent", F.explode(weeks).alias("time"))
-    dense = grid.join(series, ["ent", "time"], "left").fillna(0, ["n"]).select(F.col("ent").alias("key"), "time", "n")
-    return bursts.catalogue(dense, bursts.automaton(dense))
+    return bursts.automaton_catalogue(temporal.entity_weeks(rows), n_times(rows))
 
 
 # -- themes

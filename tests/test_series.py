@@ -270,3 +270,32 @@ def test_vector_searches_hold_tiles_of_scores(spark, monkeypatch):
         s = np.round(x[q] @ x.T, 6)
         mine = s[(q + 1) % 90]
         assert ranks[q] == 1 + (s > mine).sum() + ((s == mine).sum() - 1) / 2
+
+
+def test_automaton_of_many_series_is_that_of_each(spark):
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(1.0, (60, 80)) * (rng.random((60, 80)) < 0.4)
+    counts[:20, 30:36] += 6
+    rows = [(f"e{i}", int(t), int(counts[i, t])) for i in range(60) for t in np.flatnonzero(counts[i])]
+    frame = spark.createDataFrame(rows, "ent string, time int, n long")
+    got = sorted((r.key, r.start, r.end, r.intensity, r.peak, r.weeks) for r in bursts.automaton_catalogue(frame, 80).collect())
+    want = []
+    for i, c in enumerate(counts):
+        if c.sum() >= bursts.LEAST_TOTAL:
+            want += [(f"e{i}", a, b, x, a + int(c[a : b + 1].argmax()), b - a + 1) for a, b, x in bursts.automaton_bursts(c)]
+    assert len(want) >= 20 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+
+
+def test_jaccard_blocks_equal_the_join(spark, monkeypatch):
+    from chronoweave.operators import canonical
+
+    rng = np.random.default_rng(6)
+    rows = [(f"u{i}", f"m{m}") for i in range(60) for m in rng.integers(0, 25, rng.integers(0, 12)).tolist()]
+    rows += [("u1", None), ("u2", None)]
+    frame = spark.createDataFrame(rows, "id string, member string")
+    want = sorted(map(tuple, canonical._joined_pairs(frame.distinct(), 0.2).collect()))
+    for name, small in (("BLOCK", 25), ("TILE", 7), ("MEMBERS", 4)):
+        monkeypatch.setattr(canonical, name, small)
+    monkeypatch.setattr(canonical, "_joined_pairs", None)
+    assert sorted(map(tuple, canonical.jaccard_pairs(frame, 0.2).collect())) == want and len(want) > 50
