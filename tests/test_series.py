@@ -299,3 +299,14 @@ def test_jaccard_blocks_equal_the_join(spark, monkeypatch):
         monkeypatch.setattr(canonical, name, small)
     monkeypatch.setattr(canonical, "_joined_pairs", None)
     assert sorted(map(tuple, canonical.jaccard_pairs(frame, 0.2).collect())) == want and len(want) > 50
+
+
+def test_recurrence_ranks_meet_no_history(spark):
+    """Ranks come from windows: no query is joined with its group's earlier rows."""
+    from chronoweave.operators import linkpred
+
+    rows = [("a", "r", "x", 1), ("a", "r", "y", 2), ("a", "r", "x", 3), ("a", "r", "x", 5), ("a", "r", "z", 5), ("a", "r", "y", 5)]
+    found = linkpred.recurrence_ranks(spark.createDataFrame(rows, "subj string, rel string, obj string, time int"), 5, 10)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.obj: r["rank"] for r in found.collect() if r.direction == "object"}
+    assert got == {"x": 1.0, "y": 2.0, "z": 1 + 2 + (10 - 2 - 1) / 2}
